@@ -73,3 +73,7 @@ def keep_first_by(items: Column, key: Callable[[Column], Column]) -> Column:
             s["items"], lambda item, i: F.array_position(s["keys"], key(item)) == i + F.lit(1)
         ),
     )
+
+
+def lit_true() -> Column:
+    return F.lit(True)

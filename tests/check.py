@@ -50,7 +50,9 @@ def compare(spark, name: str, folder: str, con) -> tuple[bool, str]:
     if left == right:
         odd = [c for c, t in kinds.items() if t.startswith(("array", "struct", "map", "decimal"))]
         return True, f"{len(got)} rows, {took:.1f}s" + (f", nested {odd}" if odd else "")
-    a, b = [r for r in left if r not in set(right)][:4], [r for r in right if r not in set(left)][:4]
+    ours_set, want_set = set(left), set(right)
+    a = [r for r in left if r not in want_set][:4]
+    b = [r for r in right if r not in ours_set][:4]
     return False, f"{len(left)} vs {len(right)} rows\n  cols {sorted(got.columns)}\n  ours {a}\n  want {b}"
 
 
