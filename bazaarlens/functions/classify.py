@@ -35,28 +35,40 @@ def lookup(table: dict[str, str], key: Column) -> Column:
 def canonical_category(title: Column | str, fallback: Column | str) -> Column:
     """First pattern that matches title and source category, else the source category's own map."""
     source = F.lower(F.trim(text(fallback)))
-    hay = F.concat_ws(" ", F.lower(text(title)), source)
     unmapped = F.coalesce(
         lookup(CATEGORY_FALLBACKS, source), F.nullif(text(fallback), F.lit("")), F.lit("unknown")
     )
-    return first_rule([(matches(hay, p), F.lit(category)) for p, category in CATEGORY_RULES], unmapped)
+    by_pattern = let(
+        F.concat_ws(" ", F.lower(text(title)), source),
+        lambda hay: first_rule(
+            [(matches(hay, p), F.lit(category)) for p, category in CATEGORY_RULES],
+            F.lit(None).cast("string"),
+        ),
+    )
+    return F.coalesce(by_pattern, unmapped)
 
 
 def canonicalize_product(title: Column | str, category: Column | str) -> Column:
     """struct(title, category, warnings)."""
-    clean = canonicalize_title(title)
-    key = canonical_category(clean, category)
-    return F.struct(
-        clean.alias("title"),
-        key.alias("category"),
-        F.array_compact(
-            F.array(
-                F.when(clean != F.trim(text(title)), "title_canonicalized"),
-                F.when(F.length(clean) < 4, "short_canonical_title"),
-                F.when(key != text(category), "category_canonicalized"),
-            )
-        ).alias("warnings"),
+    def build(named: Column) -> Column:
+        clean, key = named["title"], named["category"]
+        return F.struct(
+            clean.alias("title"),
+            key.alias("category"),
+            F.array_compact(
+                F.array(
+                    F.when(clean != F.trim(text(title)), "title_canonicalized"),
+                    F.when(F.length(clean) < 4, "short_canonical_title"),
+                    F.when(key != text(category), "category_canonicalized"),
+                )
+            ).alias("warnings"),
+        )
+
+    named = let(
+        canonicalize_title(title),
+        lambda t: F.struct(t.alias("title"), canonical_category(t, category).alias("category")),
     )
+    return let(named, build)
 
 
 def valid_category_key(c: Column | str) -> Column:

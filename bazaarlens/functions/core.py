@@ -77,3 +77,12 @@ def keep_first_by(items: Column, key: Callable[[Column], Column]) -> Column:
 
 def lit_true() -> Column:
     return F.lit(True)
+
+
+def barrier(c: Column) -> Column:
+    """The same value, computed once in its own projection.
+
+    Filters and later columns that refer to it are not rewritten in terms of its inputs: through a
+    long chain of rules such rewriting multiplies the expression.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, c)

@@ -462,7 +462,7 @@ THRESHOLD_SQL = f"""r AS (SELECT request_id, request, p AS position,
   CASE p WHEN 1 THEN 'module ' || CAST(8 * (1 + o_custkey % 9) AS VARCHAR) || 'GB' WHEN 2 THEN 'no size given' ELSE 'kit 16 gb and ' || CAST(o_custkey % 64 AS VARCHAR) || ' gb' END AS title
   FROM requests_v, (SELECT unnest([1, 2, 3]) AS p)),
 g AS (SELECT *, TRY_CAST(regexp_extract(lower(request), '(?:almeno|oltre)\\s*([0-9]+)\\s*gb\\b', 1) AS DOUBLE) AS need,
-  list_max(list_transform(regexp_extract_all(lower(title), '([0-9]+)\\s*gb', 1), x -> CAST(x AS DOUBLE))) AS best,
+  list_max(list_transform(regexp_extract_all(lower(title), '([0-9]+)\\s*gb', 1), lambda x: CAST(x AS DOUBLE))) AS best,
   regexp_matches(lower(request), '(minimo\\s*18\\s*volt|144hz o superiore)') AS other FROM r),
 s AS (SELECT *, CASE WHEN need IS NULL AND NOT other THEN 'no_threshold' WHEN other OR best IS NULL THEN 'unknown' WHEN best < need THEN 'below_minimum' ELSE 'match' END AS status FROM g),
 k AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY CASE WHEN status = 'unknown' THEN 1 ELSE 0 END, position) AS rank FROM s WHERE status <> 'below_minimum')"""

@@ -274,7 +274,7 @@ SELECT CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-'
     WHEN 4 THEN 'DDR4 banco 128GB server ' || p_brand
     ELSE p_brand || ' ' || p_name END AS title,
   CASE WHEN l_linenumber = 2 THEN 'RAM difettoso, ' || p_name ELSE 'memoria ' || p_brand END AS description,
-  CAST(CAST(l_extendedprice AS BIGINT) % 300 AS DOUBLE) AS price,
+  CAST(CAST(floor(l_extendedprice) AS BIGINT) % 300 AS DOUBLE) AS price,
   CASE WHEN l_linenumber % 2 = 0 THEN 'https://img.example/' || CAST(l_partkey AS STRING) END AS image_url,
   l_orderkey, l_linenumber, l_partkey, CAST(CAST(l_shipdate AS DATE) AS STRING) AS seen_on
 FROM {{lineitem}} JOIN {{parts_v}} ON l_partkey = p_partkey""",
