@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from bazaarlens.functions.core import find_all, first_rule, let, matches, squeeze, text
+from bazaarlens.functions.core import constant, find_all, first_rule, let, matches, squeeze, text
 from bazaarlens.functions.text import norm_text
 from bazaarlens.functions.titles import canonicalize_title
 from bazaarlens.rules.categories import (
@@ -28,8 +28,7 @@ from bazaarlens.rules.words import (
 
 def lookup(table: dict[str, str], key: Column) -> Column:
     """Value of a small fixed map, or null."""
-    pairs = F.create_map(*[F.lit(v) for pair in table.items() for v in pair])
-    return F.try_element_at(pairs, key)
+    return F.try_element_at(constant(table, "map<string,string>"), key)
 
 
 def canonical_category(title: Column | str, fallback: Column | str) -> Column:
@@ -74,7 +73,7 @@ def canonicalize_product(title: Column | str, category: Column | str) -> Column:
 def valid_category_key(c: Column | str) -> Column:
     """A key of the category tree, or empty text; site labels get a second try by pattern."""
     raw = squeeze(text(c))
-    keys = F.array(*[F.lit(key) for key in VALID_CATEGORY_KEYS])
+    keys = constant(list(VALID_CATEGORY_KEYS), "array<string>")
 
     def known(value: Column) -> Column:
         key = F.coalesce(lookup(CATEGORY_KEY_ALIASES, value), value)

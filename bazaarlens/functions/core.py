@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable
+from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -86,3 +88,8 @@ def barrier(c: Column) -> Column:
     long chain of rules such rewriting multiplies the expression.
     """
     return F.when(F.monotonically_increasing_id() >= 0, c)
+
+
+def constant(value: Any, schema: str) -> Column:
+    """A fixed table as one constant column: small in the plan, folded once by the optimizer."""
+    return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), schema)

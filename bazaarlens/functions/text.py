@@ -126,9 +126,9 @@ def repair_mojibake(c: Column | str) -> Column:
     """Undo UTF-8 read as Latin-1, when the re-reading leaves no more marker characters."""
     value = text(c)
     narrow = F.regexp_replace(value, r"[^\u0000-ÿ]", "")
-    reread = F.regexp_replace(
-        F.decode(F.encode(narrow, "ISO-8859-1"), "UTF-8"), "�", ""
-    )
+    # Bytes that are no UTF-8 become U+FFFD and drop out.
+    bytes_read = F.encode(narrow, "ISO-8859-1").cast("string")
+    reread = F.replace(F.make_valid_utf8(bytes_read), F.lit("\ufffd"), F.lit(""))
     return let(
         F.struct(value.alias("old"), reread.alias("new")),
         lambda s: F.when(

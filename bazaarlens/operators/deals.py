@@ -122,7 +122,9 @@ def unit_budget(df: DataFrame, config: RuleConfig) -> DataFrame:
             F.when(F.array_contains(f"_unit{i}", term), quantity_for_term(F.col("_full"), term, list(rule.unit_aliases)))
             for term in rule.match
         ]
-        quantities[f"_quantity{i}"] = F.least(F.array_max(F.array(*named)), F.lit(MAX_QUANTITY))
+        most = F.array_max(F.array(*named))
+        # least() skips nulls, and no quantity has to stay null.
+        quantities[f"_quantity{i}"] = F.when(most.isNotNull(), F.least(most, F.lit(MAX_QUANTITY)))
     options = []
     for i, rule in enumerate(config.unit_rules):
         explicit = F.col(f"_quantity{i}")

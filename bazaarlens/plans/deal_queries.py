@@ -92,7 +92,7 @@ def decide_sql(config: RuleConfig, source: str = "offers_v") -> str:
         q = f"list_max([{qty}])"
         units.append(
             f"CASE WHEN {' OR '.join(hits)} THEN {{'e': CAST({q} IS NOT NULL AS INTEGER), 'n': {count}, "
-            f"'t': -(coalesce(least({q}, 999), 1) * {r.max_price_per_unit}::DOUBLE), 'p': -{i}}} END"
+            f"'t': -(coalesce(CASE WHEN {q} IS NOT NULL THEN least({q}, 999) END, 1) * {r.max_price_per_unit}::DOUBLE), 'p': -{i}}} END"
         )
     unit = f"list_max([{', '.join(units)}]).t" if units else "NULL::DOUBLE"
     fallback = config.budget.get("standard", max(config.budget.values()))

@@ -32,8 +32,13 @@ SELECT p_partkey AS page_id, 'https://shop.example.it/list/page?cat=' || p_type
 FROM {parts_v}"""
 
 
+def with_json(sql: str) -> str:
+    """SQL text whose only placeholder is parts_v; its other braces are JSON."""
+    return sql.replace("{", "{{").replace("}", "}}").replace("{{parts_v}}", "{parts_v}")
+
+
 def _product_pages(v: Inputs) -> DataFrame:
-    return v.spark.sql(PRODUCT_PAGES, parts_v=v("parts_v"))
+    return v.spark.sql(with_json(PRODUCT_PAGES), parts_v=v("parts_v"))
 
 
 @query(
@@ -69,7 +74,13 @@ def category_links(v: Inputs) -> DataFrame:
 
 @query("extract_links")
 def extract_links(v: Inputs) -> DataFrame:
-    return pages.category_links(v("pages"), F.lit("web"), profile="all")
+    """Every link of the pages, whether it looks like a category, and how interesting it is."""
+    links = pages.anchors(v("pages"))
+    return links.select(
+        "page_id", "position", "url", "label",
+        pages.looks_like_category(F.col("url"), F.col("label"), F.col("parent")).alias("category"),
+        pages.category_interest(F.lit("web"), F.col("label"), F.col("url"), F.col("label"), "general").alias("interest"),
+    )
 
 
 @query(
@@ -114,7 +125,7 @@ UNION ALL SELECT 'SUBITO', 'subito_u' || CAST(p_partkey AS VARCHAR), p_name, CAS
 UNION ALL SELECT 'VINTED', 'vinted_' || CAST(p_partkey AS VARCHAR), p_name, CAST(euro AS DOUBLE) + 0.25, 'https://www.vinted.it/items/' || CAST(p_partkey AS VARCHAR), '' FROM parts_v WHERE p_partkey % 3 = 2""",
 )
 def normalize_payloads(v: Inputs) -> DataFrame:
-    rows = v.spark.sql(PAYLOAD_ROWS, parts_v=v("parts_v"))
+    rows = v.spark.sql(with_json(PAYLOAD_ROWS), parts_v=v("parts_v"))
     return payloads.normalize_payloads(rows).select("platform", "id", "title", "price", "url", "extra_info")
 
 
