@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from bazaarlens.plans.fixtures import TABLES, VIEWS
 
+SPREAD = ("lineitem", "orders", "documents", "events", "pages", "conversations")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -23,13 +25,23 @@ class Inputs:
     def __call__(self, name: str) -> DataFrame:
         if name not in self._built:
             if name in TABLES:
-                self._built[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+                self._built[name] = self._table(name)
             else:
                 needs, sql = VIEWS[name]
                 self._built[name] = self.spark.sql(sql, **{n: self(n) for n in needs})
         return self._built[name]
 
 
+    def _table(self, name: str) -> DataFrame:
+        """The table as read. A table in fewer pieces than there are cores is spread over them, as
+        one small file would otherwise be one task; large data is left as its files split."""
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        if name in SPREAD and df.rdd.getNumPartitions() < cores:
+            return df.repartition(cores)
+        return df
+
+
 def with_views(names: list[str], body: str) -> str:
     """The body after WITH clauses for the named views and all they need."""
     ordered: list[str] = []
