@@ -265,7 +265,7 @@ def review_summary(v: Inputs) -> DataFrame:
 
 
 @query(
-    "pipeline_summary",
+    "market_summary",
     REVIEW_VIEWS + ["families_v", "variants_v", "aliases_v", "identifiers_v", "spec_facts_v"],
     """SELECT 'listings' AS area, 'all' AS value, CAST(count(*) AS BIGINT) AS n FROM listings_v
 UNION ALL SELECT 'clean', coalesce(decision, ''), CAST(count(*) AS BIGINT) FROM cleaning_v GROUP BY 2
@@ -279,7 +279,7 @@ UNION ALL SELECT 'aliases', 'all', CAST(count(*) AS BIGINT) FROM aliases_v
 UNION ALL SELECT 'identifiers', 'all', CAST(count(*) AS BIGINT) FROM identifiers_v
 UNION ALL SELECT 'spec_facts', 'all', CAST(count(*) AS BIGINT) FROM spec_facts_v""",
 )
-def pipeline_summary(v: Inputs) -> DataFrame:
+def market_summary(v: Inputs) -> DataFrame:
     return reviews.long_counts(
         [
             ("listings", v("listings_v"), None),
