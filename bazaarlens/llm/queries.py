@@ -37,9 +37,12 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def listed(spans: str):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     return found.select(
         "doc_id",
-        *(F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS),
+        *map(count, KINDS),
         F.sha2(listed("base"), 256).alias("base_sha256"),
         listed("spans").alias("spans"),
     )
