@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bazaarlens.llm.pii_crf import KINDS, find_private
 from bazaarlens.llm.piece_codec import encode_pieces
+from bazaarlens.llm.toxicity import fit_toxicity, is_held_out, score_toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +21,18 @@ def piece_model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; labels of the held-out fold are never learned from."""
+    documents = table(spark, sf_dir, "documents")
+    model = fit_toxicity(documents, table(spark, sf_dir, "labels"))
+    return score_toxicity(documents, model).select(
+        "doc_id",
+        is_held_out("doc_id").alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
     return encode_pieces(table(spark, sf_dir, "documents"), piece_model_path()).select(
@@ -49,6 +62,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_pii": op4_pii,
 }
