@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bazaarlens.llm.language_bloom import fit_languages, identify_language
 from bazaarlens.llm.pii_crf import KINDS, find_private
 from bazaarlens.llm.piece_codec import encode_pieces
 from bazaarlens.llm.toxicity import fit_toxicity, is_held_out, score_toxicity
@@ -61,10 +62,19 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; the held-out fold is never learned from."""
+    documents = table(spark, sf_dir, "documents")
+    return identify_language(documents, fit_languages(documents)).select(
+        "doc_id", is_held_out("doc_id").alias("held_out"), "lang_pred", "score"
+    )
+
+
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_pii": op4_pii,
+    "op5_language": op5_language,
 }
 
 ORACLES: dict[str, str] = {}
