@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bazaarlens.llm.language_bloom import fit_languages, identify_language
+from bazaarlens.llm.page_consensus import extract_main_text
 from bazaarlens.llm.pii_crf import KINDS, find_private
 from bazaarlens.llm.piece_codec import encode_pieces
 from bazaarlens.llm.toxicity import fit_toxicity, is_held_out, score_toxicity
@@ -70,11 +71,19 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by the winning container paths of its host."""
+    return extract_main_text(table(spark, sf_dir, "pages")).select(
+        "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars")
+    )
+
+
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_pii": op4_pii,
     "op5_language": op5_language,
+    "op6_html": op6_html,
 }
 
 ORACLES: dict[str, str] = {}
