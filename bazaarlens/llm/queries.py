@@ -9,6 +9,7 @@ from bazaarlens.llm.language_bloom import fit_languages, identify_language
 from bazaarlens.llm.page_consensus import extract_main_text
 from bazaarlens.llm.pii_crf import KINDS, find_private
 from bazaarlens.llm.piece_codec import encode_pieces
+from bazaarlens.llm.quality_cotrain import fit_quality, score_quality
 from bazaarlens.llm.toxicity import fit_toxicity, is_held_out, score_toxicity
 
 
@@ -78,12 +79,27 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by both views and their combination; kept is score >= 0.5."""
+    documents = table(spark, sf_dir, "documents")
+    model = fit_quality(documents, table(spark, sf_dir, "labels"))
+    return score_quality(documents, model).select(
+        "doc_id",
+        is_held_out("doc_id").alias("held_out"),
+        "content_score",
+        "metadata_score",
+        "score",
+        (F.col("score") >= 0.5).alias("kept"),
+    )
+
+
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_pii": op4_pii,
     "op5_language": op5_language,
     "op6_html": op6_html,
+    "op7_quality": op7_quality,
 }
 
 ORACLES: dict[str, str] = {}
