@@ -10,6 +10,7 @@ from bazaarlens.llm.page_consensus import extract_main_text
 from bazaarlens.llm.pii_crf import KINDS, find_private
 from bazaarlens.llm.piece_codec import encode_pieces
 from bazaarlens.llm.quality_cotrain import fit_quality, score_quality
+from bazaarlens.llm.template_leaks import find_leaks
 from bazaarlens.llm.toxicity import fit_toxicity, is_held_out, score_toxicity
 
 
@@ -93,6 +94,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that leak benchmark items, one row for each document and item."""
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_sentencepiece": op3_sentencepiece,
@@ -100,6 +106,7 @@ QUERIES = {
     "op5_language": op5_language,
     "op6_html": op6_html,
     "op7_quality": op7_quality,
+    "op8_decontamination": op8_decontamination,
 }
 
 ORACLES: dict[str, str] = {}
