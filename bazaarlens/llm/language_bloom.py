@@ -128,8 +128,19 @@ def fit_languages(documents: DataFrame, fit_rows: int = 1000, least_share: float
     rows = documents.where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out("doc_id")
     ).select("doc_id", F.col("lang").cast("string").alias("lang"))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= fit_rows).select("doc_id", "lang")
+    # Only rows whose hash is small for the size of their language are ranked: some 4 * fit_rows of
+    # each, so a language that holds most rows is no heavier than another.
+    often = stored(rows.groupBy("lang").count(), "language-counts")
+    place = (F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))).alias("place")
+    first = Window.partitionBy("lang").orderBy("place", "doc_id")
+    chosen = (
+        rows.select("doc_id", "lang", place)
+        .join(often, "lang")
+        .where(F.col("place") * F.col("count") <= 4 * fit_rows)
+        .withColumn("nth", F.row_number().over(first))
+        .where(F.col("nth") <= fit_rows)
+        .select("doc_id", "lang")
+    )
     # least text of each document: one row for each, whatever was repeated
     sample = stored(
         documents.where(F.col("lang").isNotNull())
@@ -142,8 +153,7 @@ def fit_languages(documents: DataFrame, fit_rows: int = 1000, least_share: float
     )
     sizes = {r["lang"]: r["count"] for r in sample.groupBy("lang").count().collect()}
     # the most frequent language comes first and wins ties
-    often = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect() if sizes else []
-    languages = [r["lang"] for r in often if r["lang"] in sizes]
+    languages = [r["lang"] for r in often.orderBy(F.desc("count"), "lang").collect() if r["lang"] in sizes]
     parts = max(1, -(-len(languages) // SLICE))
     masks = np.zeros((parts, 1 << BITS), np.uint64)
     if not languages:
