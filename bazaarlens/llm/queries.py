@@ -11,6 +11,7 @@ from bazaarlens.llm.pii_crf import KINDS, find_private
 from bazaarlens.llm.piece_codec import encode_pieces
 from bazaarlens.llm.quality_cotrain import fit_quality, score_quality
 from bazaarlens.llm.template_leaks import find_leaks
+from bazaarlens.llm.token_groups import jaccard_components
 from bazaarlens.llm.toxicity import fit_toxicity, is_held_out, score_toxicity
 
 
@@ -99,6 +100,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 3-word shingles have a similarity of 0.9 or more."""
+    return jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_sentencepiece": op3_sentencepiece,
@@ -107,6 +113,7 @@ QUERIES = {
     "op6_html": op6_html,
     "op7_quality": op7_quality,
     "op8_decontamination": op8_decontamination,
+    "op10_jaccard": op10_jaccard,
 }
 
 ORACLES: dict[str, str] = {}
