@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bazaarlens.llm.grid_order import near_duplicates
 from bazaarlens.llm.language_bloom import fit_languages, identify_language
 from bazaarlens.llm.page_consensus import extract_main_text
 from bazaarlens.llm.pii_crf import KINDS, find_private
@@ -100,6 +101,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of equal label with a cosine of 0.98 or more: links, components and the kept one."""
+    return near_duplicates(table(spark, sf_dir, "embeddings"), 0.98)
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 3-word shingles have a similarity of 0.9 or more."""
     return jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90)
@@ -113,6 +119,7 @@ QUERIES = {
     "op6_html": op6_html,
     "op7_quality": op7_quality,
     "op8_decontamination": op8_decontamination,
+    "op9_embeddings": op9_embeddings,
     "op10_jaccard": op10_jaccard,
 }
 
