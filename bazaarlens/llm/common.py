@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Characters that one step inside a task holds at once. A longer single text is a step of its own.
 STEP_CHARS = 4_000_000
@@ -51,6 +52,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def hash_first(df: DataFrame, column: str, rows: int) -> DataFrame:
+    """The `rows` rows that come first in the order of a hash of a column: a bounded, repeatable sample.
+
+    Only rows whose hash is small for the size of the table are sorted, some 4 * rows of them, so the
+    sort does not grow with the table.
+    """
+    place = F.shiftrightunsigned(F.xxhash64(column), 11) / F.lit(float(1 << 53))
+    total = df.count()
+    return df.where(place * total <= 4.0 * rows).orderBy(place, column).limit(rows)
+
+
 def steps(lengths: np.ndarray, most: int = STEP_CHARS) -> Iterator[tuple[int, int]]:
     """Row ranges whose lengths add up to about `most`."""
     start = total = 0

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bazaarlens.llm.common import stored
+from bazaarlens.llm.common import hash_first, stored
 from bazaarlens.llm.components import components
 
 DIRECTIONS = 6
@@ -98,7 +98,7 @@ def leading_directions(sample: np.ndarray, most: int = DIRECTIONS) -> np.ndarray
 
 
 def _directions(classes: DataFrame, fit_rows: int) -> dict[int, np.ndarray]:
-    rows = classes.orderBy(F.xxhash64("class"), "class").limit(fit_rows).select("size", "vector").toArrow()
+    rows = hash_first(classes.select("class", "size", "vector"), "class", fit_rows).toArrow()
     found: dict[int, list[np.ndarray]] = {}
     for size, vector in zip(rows.column("size").to_pylist(), rows.column("vector").to_pylist()):
         found.setdefault(size, []).append(np.frombuffer(vector))

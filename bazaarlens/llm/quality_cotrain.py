@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bazaarlens.llm.common import code_points, stored, text_steps
+from bazaarlens.llm.common import code_points, hash_first, stored, text_steps
 from bazaarlens.llm.linear import fit_logistic, sigmoid
 from bazaarlens.llm.toxicity import is_held_out, labelled_sample
 
@@ -133,14 +133,13 @@ def _sample(documents: DataFrame, labels: DataFrame, fit_rows: int, pool_rows: i
     """Labelled rows, and unlabelled ones with a null label, with source and lang."""
     known = labelled_sample(documents, labels, "quality", fit_rows)
     labelled = labels.where(F.col("quality").isNotNull()).select("doc_id").distinct()
-    pool = (
+    others = (
         documents.where(F.col("doc_id").isNotNull())
         .select("doc_id")
         .join(labelled, "doc_id", "left_anti")
         .distinct()
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(pool_rows)
     )
+    pool = hash_first(others, "doc_id", pool_rows)
     rows = documents.select(
         "doc_id", *(F.col(c).cast("string").alias(c) for c in ("text", "source", "lang"))
     )

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bazaarlens.llm.common import stored, text_steps
+from bazaarlens.llm.common import hash_first, stored, text_steps
 from bazaarlens.llm.linear import char_ngrams, fit_logistic, sigmoid
 
 SIZES = (3, 4, 5)
@@ -51,13 +51,12 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, fit_row
     Labels are a table of their own: repeated labels of a document give the largest. The sample is
     bounded by fit_rows, so the join can broadcast it. Exact copies of a text are left with one row.
     """
-    chosen = (
+    known = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~is_held_out("doc_id"))
         .groupBy("doc_id")
         .agg(F.max(label).cast("int").alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(fit_rows)
     )
+    chosen = hash_first(known, "doc_id", fit_rows)
     rows = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # one row for each document and then for each text; the least text and id decide, so runs agree
     return (
