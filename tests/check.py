@@ -26,7 +26,7 @@ def canonical(frame: pd.DataFrame) -> list[tuple]:
     columns = sorted(frame.columns)
 
     def cell(value):
-        if value is None or value is pd.NaT or (isinstance(value, float) and math.isnan(value)):
+        if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and math.isnan(value)):
             return "<null>"
         return repr(value.item() if hasattr(value, "item") else value)
 
