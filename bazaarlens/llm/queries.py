@@ -13,6 +13,7 @@ from bazaarlens.llm.piece_codec import encode_pieces
 from bazaarlens.llm.quality_cotrain import fit_quality, score_quality
 from bazaarlens.llm.template_leaks import find_leaks
 from bazaarlens.llm.token_groups import jaccard_components
+from bazaarlens.llm.tool_calls import format_tool_calls
 from bazaarlens.llm.toxicity import fit_toxicity, is_held_out, score_toxicity
 
 
@@ -27,6 +28,41 @@ def piece_model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linked calls and results of every conversation, validated, as canonical JSON."""
+    return format_tool_calls(table(spark, sf_dir, "conversations"))
+
+
+OP1_SQL = """
+WITH calls AS (
+  SELECT conv_id, turn, CAST(turn AS VARCHAR) AS call_id,
+         CASE role WHEN 'user' THEN 'reply' ELSE 'instruct' END AS name, text,
+         row_number() OVER (PARTITION BY conv_id, turn ORDER BY CASE role WHEN 'user' THEN 'reply' ELSE 'instruct' END, text) AS nth,
+         count(*) OVER (PARTITION BY conv_id, turn) AS n_calls
+  FROM conversations WHERE role IN ('user', 'system')
+), results AS (
+  SELECT conv_id, turn, CAST(turn - 1 AS VARCHAR) AS call_id, text,
+         row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) AS nth,
+         count(*) OVER (PARTITION BY conv_id, turn) AS n_results
+  FROM conversations WHERE role = 'assistant'
+), both_sides AS (
+  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, c.name,
+         c.turn AS call_turn, r.turn AS result_turn, c.text AS asked, r.text AS answer,
+         coalesce(c.n_calls, 0) AS n_calls, coalesce(r.n_results, 0) AS n_results
+  FROM (SELECT * FROM calls WHERE nth = 1) c FULL JOIN (SELECT * FROM results WHERE nth = 1) r
+    ON c.conv_id = r.conv_id AND c.call_id = r.call_id
+), told AS (
+  SELECT *, CASE WHEN n_calls = 0 THEN 'orphan' WHEN n_results = 0 THEN 'unanswered' ELSE 'linked' END AS status FROM both_sides
+)
+SELECT conv_id, call_id, name, call_turn, result_turn, coalesce(call_turn, result_turn) AS place, 0 AS level, status,
+       n_calls, n_results, CASE WHEN n_calls > 0 AND asked IS NULL THEN 'missing text' ELSE '' END AS errors,
+       CAST(json_object('arguments', CASE WHEN n_calls = 0 THEN NULL WHEN asked IS NULL THEN json_object('turn', call_turn)
+                                     ELSE json_object('text', asked, 'turn', call_turn) END,
+                        'id', call_id, 'name', name, 'result', answer, 'status', status) AS VARCHAR) AS canonical_json
+FROM told
+"""
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document; labels of the held-out fold are never learned from."""
     documents = table(spark, sf_dir, "documents")
@@ -112,6 +148,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_chat": op1_chat,
     "op2_toxicity": op2_toxicity,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_pii": op4_pii,
@@ -123,4 +160,4 @@ QUERIES = {
     "op10_jaccard": op10_jaccard,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_chat": OP1_SQL}
