@@ -29,8 +29,9 @@ def piece_model_path() -> str:
 
 
 def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Linked calls and results of every conversation, validated, as canonical JSON."""
-    return format_tool_calls(table(spark, sf_dir, "conversations"))
+    """Linked calls and results of every conversation, validated, as canonical JSON; -1: no such turn."""
+    found = format_tool_calls(table(spark, sf_dir, "conversations"))
+    return found.withColumns({c: F.coalesce(c, F.lit(-1).cast("long")) for c in ("call_turn", "result_turn")})
 
 
 OP1_SQL = """
@@ -54,8 +55,8 @@ WITH calls AS (
 ), told AS (
   SELECT *, CASE WHEN n_calls = 0 THEN 'orphan' WHEN n_results = 0 THEN 'unanswered' ELSE 'linked' END AS status FROM both_sides
 )
-SELECT conv_id, call_id, name, call_turn, result_turn, coalesce(call_turn, result_turn) AS place, 0 AS level, status,
-       n_calls, n_results, CASE WHEN n_calls > 0 AND asked IS NULL THEN 'missing text' ELSE '' END AS errors,
+SELECT conv_id, call_id, name, coalesce(call_turn, -1) AS call_turn, coalesce(result_turn, -1) AS result_turn,
+       coalesce(call_turn, result_turn) AS place, 0 AS level, status, n_calls, n_results, CASE WHEN n_calls > 0 AND asked IS NULL THEN 'missing text' ELSE '' END AS errors,
        CAST(json_object('arguments', CASE WHEN n_calls = 0 THEN NULL WHEN asked IS NULL THEN json_object('turn', call_turn)
                                      ELSE json_object('text', asked, 'turn', call_turn) END,
                         'id', call_id, 'name', name, 'result', answer, 'status', status) AS VARCHAR) AS canonical_json
