@@ -75,6 +75,8 @@ def word_ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             value = (value << np.uint64(15)) ^ (value >> np.uint64(40)) ^ points[at + k].astype(np.uint64)
         owners.append(np.searchsorted(ends, at, "right"))
         hashes.append(mix64(value))
+    if not owners:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), has
     return np.concatenate(owners), np.concatenate(hashes), has
 
 

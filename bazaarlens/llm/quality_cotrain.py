@@ -286,3 +286,17 @@ def score_quality(df: DataFrame, model: QualityModel, keep: tuple[str, ...] = ("
 
     inputs = [F.col(c).cast("string").alias(f"__{c}") for c in ("text", "source", "lang")]
     return df.select(*keep, *inputs).mapInArrow(run, schema)
+
+
+def keep_good(df: DataFrame, model: QualityModel, least: float = 0.5) -> DataFrame:
+    """The rows whose score is `least` or more, with all their columns and no others."""
+    schema = df.schema
+    held = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in text_steps(batches, "text"):
+            named = (rows.column(c).cast(pa.string()).to_pylist() for c in ("source", "lang"))
+            scores = held.value.scores(texts, *named)[:, 2]
+            yield rows.filter(pa.array(scores >= least))
+
+    return df.mapInArrow(run, schema)
