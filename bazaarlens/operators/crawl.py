@@ -14,7 +14,7 @@ MAX_QUERIES = 6
 def registry(spark: SparkSession) -> DataFrame:
     """Known sources; a table of fixed size."""
     rows = [
-        (name, label, group, countries.split(), status, login, templates.split())
+        (name, label, group, list(countries), status, login, list(templates))
         for name, label, group, countries, status, login, templates in SOURCES
     ]
     return spark.createDataFrame(

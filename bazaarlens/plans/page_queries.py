@@ -178,10 +178,10 @@ def knowledge_import(v: Inputs) -> DataFrame:
 # Crawl plans ---------------------------------------------------------------------------------
 
 SOURCE_VALUES = ", ".join(
-    f"('{name}', '{group}', '{status}', {login}, '{templates}')" for name, _, group, _, status, login, templates in SOURCES
+    f"('{name}', '{group}', '{status}', {login}, '{' '.join(templates)}')" for name, _, group, _, status, login, templates in SOURCES
 )
 NODE_VALUES = ", ".join(
-    f"('{key}', '{keywords}')" for key, _, _, _, _, keywords in CATEGORY_TREE
+    f"('{key}', '{'|'.join(keywords)}')" for key, _, _, _, _, keywords in CATEGORY_TREE
 )
 
 
@@ -247,7 +247,7 @@ def category_terms(v: Inputs) -> DataFrame:
 REQ = "trim(regexp_replace(replace(lower(request), '×', 'x'), '\\s+', ' ', 'g'))"
 DOMAIN_SCORES = []
 for _i, (_name, _weight, _words) in enumerate(request_rules.DOMAINS):
-    _hits = " + ".join(f"CASE WHEN contains(t, '{w}') THEN {_weight} ELSE 0 END" for w in filter(None, _words.split("|")))
+    _hits = " + ".join(f"CASE WHEN contains(t, '{w}') THEN {_weight} ELSE 0 END" for w in _words)
     DOMAIN_SCORES.append(f"({_hits or 1})")
 DOMAIN_SQL = f"""d AS (SELECT request_id, {REQ} AS t FROM requests_v), e AS (SELECT *, {', '.join(f'{s} AS s{i}' for i, s in enumerate(DOMAIN_SCORES))} FROM d),
 f AS (SELECT request_id, t, s0, s1, s2 + CASE WHEN s0 >= 4 THEN 1 ELSE 0 END + CASE WHEN s1 >= 4 THEN 1 ELSE 0 END AS s2, {', '.join(f's{i}' for i in range(3, 11))} FROM e),
@@ -308,7 +308,7 @@ def source_learning(v: Inputs) -> DataFrame:
 # Multilingual --------------------------------------------------------------------------------
 
 ALIAS_VALUES = ", ".join(
-    f"({i}, '{c}', '{a}')" for i, (a, c) in enumerate(multilingual._alias_table(taxonomy.COMPACT_TAXONOMY).items())
+    f"({i}, '{c}', '{a}')" for i, (a, c) in enumerate(multilingual._alias_table(taxonomy.TAXONOMY).items())
 )
 TAXONOMY_SQL = f"""a(i, canonical, alias) AS (VALUES {ALIAS_VALUES}),
 h AS (SELECT l_partkey, title, ' ' || {NORM_KEEP.format('title')} || ' ' AS hay FROM (SELECT DISTINCT l_partkey, title FROM listings_v)),

@@ -315,7 +315,7 @@ def classification_summary(v: Inputs) -> DataFrame:
 def hint_rows_sql() -> str:
     rows = []
     for i, (name, hints) in enumerate(LANGUAGE_HINTS.items()):
-        for hint in hints.split("|"):
+        for hint in hints:
             rows.append(f"({i}, '{name}', '{language.plain_hint(hint)}')")
     return ", ".join(rows)
 

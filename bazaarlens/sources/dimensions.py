@@ -7,15 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from bazaarlens.rules.categories import ADDED_CATEGORY_NODES, AUTHORITATIVE_SOURCES, CATEGORY_TREE, COMMON_TERMS
 
 
-def _parts(text: str) -> list[str]:
-    return [part for part in text.split("|") if part]
-
-
 def category_tree(spark: SparkSession, added_nodes: bool = False) -> DataFrame:
     """One row per category: key, label, parent, group, profiles, keywords."""
     nodes = CATEGORY_TREE + (ADDED_CATEGORY_NODES if added_nodes else ())
     rows = [
-        (position, key, label, parent, group, _parts(profiles), _parts(keywords))
+        (position, key, label, parent, group, list(profiles), list(keywords))
         for position, (key, label, parent, group, profiles, keywords) in enumerate(nodes)
     ]
     return spark.createDataFrame(
