@@ -13,34 +13,61 @@ from pyspark.sql import functions as F
 MAX_LEARNED_CONFIDENCE = 0.95
 
 
-def latest(column: str, order: str = "_at", when: Column | None = None) -> Column:
-    """Value of the newest row that passes ``when``."""
-    keep = F.col(column).isNotNull() if when is None else when
-    return F.max_by(F.when(keep, F.col(column)), F.when(keep, F.col(order))).alias(column)
-
-
-def latest_non_empty(column: str, order: str = "_at", empty: str = "") -> Column:
-    """Empty values never overwrite."""
-    return latest(column, order, F.col(column).isNotNull() & (F.col(column) != empty))
-
-
-def earliest(column: str, order: str = "_at") -> Column:
-    return F.min_by(F.col(column), F.col(order)).alias(column)
-
-
-def earliest_non_null(column: str, order: str = "_at") -> Column:
-    keep = F.col(column).isNotNull()
-    return F.min_by(F.when(keep, F.col(column)), F.when(keep, F.col(order))).alias(column)
-
-
-def upsert(current: DataFrame | None, incoming: DataFrame, keys: list[str], rules: list[Column]) -> DataFrame:
-    """Null-safe on the keys. Both sides carry ``_at``, a sortable struct of time and row id."""
-    rows = incoming if current is None else current.unionByName(incoming, allowMissingColumns=True)
-    return rows.groupBy(*keys).agg(*rules)
-
+def _at(time: str, row_id: Column) -> Column:
+    return F.struct(F.col(time).cast("string").alias("t"), row_id.alias("r"))
+
+
+def _merged(
+    current: DataFrame | None,
+    incoming: DataFrame,
+    row_id: str,
+    keys: list[str],
+    keep: list[str] = (),
+    fill: list[str] = (),
+    newest: dict[str, str | None] = (),
+    totals: list[Column] = (),
+) -> DataFrame:
+    """One row per key from the stored rows and the incoming ones, in whatever order these arrive.
 
-def _stamped(df: DataFrame, time: str, row_id: str) -> DataFrame:
-    return df.withColumn("_at", F.struct(F.col(time).alias("t"), F.col(row_id).alias("r")))
+    keep: the value of the first sighting. fill: the first value that is not null. newest: the last
+    value that is not null and not the given empty one. Stored rows carry the times at which each of
+    these was set (`set_at`), so a late row takes only the place that its own time gives it. Stored
+    rows without it count as set when first or last seen. Columns that only one side has are kept.
+    """
+    newest = dict(newest)
+    own = _at("seen_at", F.col(row_id).cast("string"))
+    rows = incoming.withColumns({"first_seen": F.col("seen_at"), "last_seen": F.col("seen_at"), "_own": own})
+    rows = rows.withColumns({f"_at_{c}": F.col("_own") for c in [*keep, *fill, *newest] if c in rows.columns}).drop("_own")
+    if current is not None:
+        blank = F.lit("")
+        stored = {}
+        for c in [*keep, *fill, *newest]:
+            if c in current.columns:
+                default = _at("last_seen" if c in newest else "first_seen", blank)
+                known = "set_at" in current.columns and c in current.schema["set_at"].dataType.names
+                stored[f"_at_{c}"] = F.coalesce(F.col("set_at")[c], default) if known else default
+        rows = current.withColumns(stored).drop("set_at").unionByName(rows, allowMissingColumns=True)
+    there = rows.columns
+
+    def pick(c: str, ok: Column, last: bool) -> tuple[Column, Column]:
+        by, bound = (F.max_by, F.max) if last else (F.min_by, F.min)
+        time = F.when(ok, F.col(f"_at_{c}"))
+        return by(F.when(ok, F.col(c)), time).alias(c), bound(time).alias(c)
+
+    picked = [pick(c, F.col(f"_at_{c}").isNotNull(), False) for c in keep if c in there]
+    picked += [pick(c, F.col(c).isNotNull(), False) for c in fill if c in there]
+    for c, empty in newest.items():
+        if c in there:
+            ok = F.col(c).isNotNull() if empty is None else F.col(c).isNotNull() & (F.col(c) != empty)
+            picked.append(pick(c, ok, True))
+    times = [t for _, t in picked]
+    return rows.groupBy(*keys).agg(
+        *[v for v, _ in picked],
+        *totals,
+        F.min("first_seen").alias("first_seen"),
+        F.max("last_seen").alias("last_seen"),
+        *([F.struct(*times).alias("set_at")] if times else []),
+    )
 
 
 LISTING_OVERWRITES = ("title", "url", "price", "currency", "image_url", "query", "specs_json", "raw_json")
@@ -52,27 +79,16 @@ def upsert_listings(current: DataFrame | None, sightings: DataFrame, row_id: str
 
     Non-empty values overwrite; place, seller, condition and category stay as first seen.
     """
-    rows = _stamped(sightings, "seen_at", row_id).withColumns(
-        {"first_seen": F.col("seen_at"), "last_seen": F.col("seen_at"), "seen_count": F.lit(1).cast("long")}
+    empty = {c: None if c == "price" else "{}" if c.endswith("_json") else "" for c in LISTING_OVERWRITES}
+    return _merged(
+        current,
+        sightings.withColumn("seen_count", F.lit(1).cast("long")),
+        row_id,
+        ["fingerprint"],
+        keep=list(LISTING_KEEPS),
+        newest=empty,
+        totals=[F.sum("seen_count").alias("seen_count")],
     )
-    if current is not None:
-        before = _stamped(current.withColumn(row_id, F.lit("")), "last_seen", row_id)
-        rows = rows.select(*[c for c in rows.columns if c in before.columns])
-        rows = before.select(*rows.columns).unionByName(rows)
-    rules = []
-    for column in LISTING_OVERWRITES:
-        if column in rows.columns:
-            if column == "price":
-                rules.append(latest(column))
-            else:
-                rules.append(latest_non_empty(column, empty="{}" if column.endswith("_json") else ""))
-    rules += [earliest(c) for c in LISTING_KEEPS if c in rows.columns]
-    rules += [
-        F.min("first_seen").alias("first_seen"),
-        F.max("last_seen").alias("last_seen"),
-        F.sum("seen_count").alias("seen_count"),
-    ]
-    return rows.groupBy("fingerprint").agg(*rules)
 
 
 def observations(sightings: DataFrame) -> DataFrame:
@@ -84,21 +100,16 @@ def observations(sightings: DataFrame) -> DataFrame:
 
 def _catalog_upsert(current, incoming, keys, keep, fill=(), newest=()):
     """first_seen kept, last_seen moved, greatest confidence, null ids filled."""
-    rows = _stamped(incoming, "seen_at", "row_id").withColumns(
-        {"first_seen": F.col("seen_at"), "last_seen": F.col("seen_at")}
-    )
-    columns = [*keys, *keep, *fill, *newest, "confidence", "first_seen", "last_seen", "_at"]
-    rows = rows.select(*columns)
-    if current is not None:
-        before = _stamped(current.withColumn("row_id", F.lit("")), "last_seen", "row_id")
-        rows = before.select(*columns).unionByName(rows)
-    return rows.groupBy(*keys).agg(
-        *[earliest(c) for c in keep],
-        *[earliest_non_null(c) for c in fill],
-        *[latest_non_empty(c) for c in newest],
-        F.max("confidence").alias("confidence"),
-        F.min("first_seen").alias("first_seen"),
-        F.max("last_seen").alias("last_seen"),
+    columns = [*keys, *keep, *fill, *newest, "confidence", "seen_at", "row_id"]
+    return _merged(
+        current,
+        incoming.select(*columns),
+        "row_id",
+        list(keys),
+        keep=list(keep),
+        fill=list(fill),
+        newest={c: "" for c in newest},
+        totals=[F.max("confidence").alias("confidence")],
     )
 
 

@@ -373,7 +373,20 @@ LEARNED_SQL = """n AS (SELECT *, seen_on || '#' || listing_id AS stamp, CAST(50
 def family_upsert(v: Inputs) -> DataFrame:
     rows = _learned(v)
     first = upsert.upsert_families(None, rows.where("seen_at < '1999-01-01'"))
-    return upsert.upsert_families(first, rows.where("seen_at >= '1999-01-01'")).drop("metadata_json")
+    return upsert.upsert_families(first, rows.where("seen_at >= '1999-01-01'")).drop("metadata_json", "set_at")
+
+
+@query(
+    "family_upsert_late",
+    ["listings_v"],
+    f"""WITH {LEARNED_SQL} SELECT family_key, arg_min(p_type, stamp) AS category, arg_min(p_brand, stamp) AS brand, arg_min(p_name, stamp) AS family_name,
+  max(confidence) AS confidence, min(seen_on) AS first_seen, max(seen_on) AS last_seen FROM n GROUP BY family_key""",
+)
+def family_upsert_late(v: Inputs) -> DataFrame:
+    """The newer half first: older rows that arrive late give the same table."""
+    rows = _learned(v)
+    first = upsert.upsert_families(None, rows.where("seen_at >= '1999-01-01'"))
+    return upsert.upsert_families(first, rows.where("seen_at < '1999-01-01'")).drop("metadata_json", "set_at")
 
 
 @query(
@@ -384,7 +397,7 @@ def family_upsert(v: Inputs) -> DataFrame:
   max(confidence) AS confidence, min(seen_on) AS first_seen, max(seen_on) AS last_seen FROM n GROUP BY variant_key""",
 )
 def variant_upsert(v: Inputs) -> DataFrame:
-    return upsert.upsert_variants(None, _learned(v)).drop("metadata_json")
+    return upsert.upsert_variants(None, _learned(v)).drop("metadata_json", "set_at")
 
 
 @query(
@@ -394,7 +407,7 @@ def variant_upsert(v: Inputs) -> DataFrame:
   arg_min(variant_key, stamp) FILTER (variant_key IS NOT NULL) AS variant_key, max(confidence) AS confidence, min(seen_on) AS first_seen, max(seen_on) AS last_seen FROM n GROUP BY code, source""",
 )
 def identifier_upsert(v: Inputs) -> DataFrame:
-    return upsert.upsert_identifiers(None, _learned(v))
+    return upsert.upsert_identifiers(None, _learned(v)).drop("set_at")
 
 
 @query(
@@ -404,7 +417,7 @@ def identifier_upsert(v: Inputs) -> DataFrame:
   arg_min(variant_key, stamp) AS variant_key, max(confidence) AS confidence, min(seen_on) AS first_seen, max(seen_on) AS last_seen FROM n GROUP BY 1, 2""",
 )
 def alias_upsert(v: Inputs) -> DataFrame:
-    return upsert.upsert_aliases(None, _learned(v))
+    return upsert.upsert_aliases(None, _learned(v)).drop("set_at")
 
 
 @query(
@@ -416,7 +429,7 @@ def alias_upsert(v: Inputs) -> DataFrame:
 def spec_fact_upsert(v: Inputs) -> DataFrame:
     rows = _learned(v)
     first = upsert.upsert_spec_facts(None, rows)
-    return upsert.upsert_spec_facts(first, rows)
+    return upsert.upsert_spec_facts(first, rows).drop("set_at")
 
 
 @query(

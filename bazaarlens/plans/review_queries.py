@@ -327,21 +327,28 @@ def _sightings(v: Inputs) -> DataFrame:
 SIGHTINGS_SQL = """s AS (SELECT sha1(source || '|' || external_id) AS fingerprint, *, seen_on || '#' || listing_id AS stamp FROM listings_v)"""
 
 
-@query(
-    "listing_upsert",
-    ["listings_v"],
-    f"""WITH {SIGHTINGS_SQL}
+LISTING_SQL = f"""WITH {SIGHTINGS_SQL}
 SELECT fingerprint, arg_max(title, stamp) AS title, arg_max(url, stamp) AS url, arg_max(price, stamp) FILTER (price IS NOT NULL) AS price,
   arg_max(currency, stamp) FILTER (currency <> '') AS currency, arg_max(p_name, stamp) AS query, arg_min(source, stamp) AS source,
   arg_min(external_id, stamp) AS external_id, arg_min(location, stamp) AS location, arg_min(seller, stamp) AS seller,
   arg_min(condition, stamp) AS condition, arg_min(category, stamp) AS category,
-  min(seen_on) AS first_seen, max(seen_on) AS last_seen, CAST(count(*) AS BIGINT) AS seen_count FROM s GROUP BY fingerprint""",
-)
+  min(seen_on) AS first_seen, max(seen_on) AS last_seen, CAST(count(*) AS BIGINT) AS seen_count FROM s GROUP BY fingerprint"""
+
+
+@query("listing_upsert", ["listings_v"], LISTING_SQL)
 def listing_upsert(v: Inputs) -> DataFrame:
     rows = _sightings(v)
     # The older half first, then the newer sightings on top of that snapshot.
     before = upsert.upsert_listings(None, rows.where("seen_at < '1998-01-01'"))
-    return upsert.upsert_listings(before, rows.where("seen_at >= '1998-01-01'"))
+    return upsert.upsert_listings(before, rows.where("seen_at >= '1998-01-01'")).drop("set_at")
+
+
+@query("listing_upsert_late", ["listings_v"], LISTING_SQL)
+def listing_upsert_late(v: Inputs) -> DataFrame:
+    """The newer half first: older sightings that arrive late give the same snapshot."""
+    rows = _sightings(v)
+    before = upsert.upsert_listings(None, rows.where("seen_at >= '1998-01-01'"))
+    return upsert.upsert_listings(before, rows.where("seen_at < '1998-01-01'")).drop("set_at")
 
 
 @query(

@@ -62,12 +62,20 @@ def decide_stream(
     policy: WritePolicy = WritePolicy(),
     every: str | None = None,
 ) -> StreamingQuery:
-    """Decisions and alerts of each cycle; offers are already free of seen ones."""
+    """Decisions and alerts of each cycle; offers are already free of seen ones.
+
+    A cycle decides max_total_items offers at most. The rest waits in the folder `waiting` and comes
+    first in the next cycle, so none is lost; the last cycle's rest is what `waiting` returns.
+    """
 
     def cycle(batch: DataFrame, batch_id: int) -> None:
         chosen = batch
         if config.max_total_items > 0:
-            chosen = batch.orderBy("listing_id").limit(config.max_total_items)
+            if batch_id > 0:
+                chosen = waiting(batch.sparkSession, folder, batch_id - 1).unionByName(batch)
+            chosen = chosen.persist()
+            offered, chosen = chosen, chosen.orderBy("listing_id").limit(config.max_total_items).persist()
+            offered.exceptAll(chosen).write.mode("overwrite").parquet(f"{folder}/waiting/batch={batch_id}")
         decisions = deals.decide_listings(chosen, config).persist()
         try:
             if policy.decisions:
@@ -83,6 +91,11 @@ def decide_stream(
     return start(offers.writeStream.foreachBatch(cycle), checkpoint, every)
 
 
+def waiting(spark: SparkSession, folder: str, batch_id: int) -> DataFrame:
+    """Offers over the cap after a cycle, still to be decided."""
+    return spark.read.parquet(f"{folder}/waiting/batch={batch_id}")
+
+
 def snapshot_stream(sightings: DataFrame, folder: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Listing snapshot per batch: the previous batch's snapshot with the new sightings on top.
 

@@ -49,6 +49,26 @@ def test_listing_upsert_is_idempotent(spark):
         assert {k: v for k, v in first[key].items() if k != "seen_count"} == {k: v for k, v in second[key].items() if k != "seen_count"}
 
 
+def test_late_sightings_take_their_own_place(spark):
+    schema = "fingerprint string, sighting_id string, seen_at string, title string, price double, seller string, image_url string"
+    rows = [
+        ("f", "1", "2024-01-01", "first", 1.0, "sA", None),
+        ("f", "2", "2024-01-05", "middle", 2.0, "sB", "pic"),
+        ("f", "3", "2024-01-10", "", 3.0, "sC", None),
+    ]
+    frame = spark.createDataFrame(rows, schema)
+    parts = {r[1]: frame.where(f"sighting_id = '{r[1]}'") for r in rows}
+    want = upsert.upsert_listings(None, frame).drop("set_at").first()
+    assert (want["title"], want["price"], want["seller"], want["image_url"]) == ("middle", 3.0, "sA", "pic")
+    for order in ("123", "321", "213", "312"):
+        table = None
+        for k in order:
+            # the picture's column is new in the second sighting
+            table = upsert.upsert_listings(table, parts[k] if k == "2" else parts[k].drop("image_url"))
+        got = table.first()
+        assert {c: got[c] for c in want.asDict()} == want.asDict(), order
+
+
 def test_alias_upsert_fills_ids(spark):
     schema = "row_id string, seen_at string, alias string, source string, family_key string, variant_key string, confidence double"
     rows = [("1", "1", " Foo-Bar ", None, None, None, 0.5), ("2", "2", "foo bar", "", "fam", "var", 0.4), ("3", "3", "x", "", "f", "v", 0.9)]

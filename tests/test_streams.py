@@ -52,6 +52,22 @@ def test_decisions_and_seen_state(spark, tmp_path):
     assert deals.run_stats(got).first()["notified"] == spark.read.parquet(f"{folder}/out/alerts").count()
 
 
+def test_offers_over_the_cap_wait_for_the_next_cycle(spark, tmp_path):
+    from dataclasses import replace
+
+    rows = [(f"l{i:02d}", "EBAY", "DDR4 RAM 32gb", "", float(i), None, "2024-01-01 00:00:00", i % 3) for i in range(12)]
+    df = spark.createDataFrame(
+        rows, "listing_id string, platform string, title string, description string, price double, image_url string, seen string, part int"
+    )
+    folder = str(tmp_path)
+    inputs = _files(df, folder, 3)
+    stream = jobs.read_new_files(spark, inputs, df.drop("part").schema, max_files=1)
+    jobs.decide_stream(stream, replace(RAM, max_total_items=3), f"{folder}/out", f"{folder}/cp").awaitTermination()
+    decided = [r["listing_id"] for r in spark.read.parquet(f"{folder}/out/decisions").collect()]
+    rest = [r["listing_id"] for r in jobs.waiting(spark, f"{folder}/out", 2).collect()]
+    assert len(decided) == 9 and sorted(decided + rest) == [f"l{i:02d}" for i in range(12)]
+
+
 def test_dry_runs_write_nothing(spark, tmp_path):
     policy = jobs.WritePolicy.of(full_dry_run=True)
     assert not (policy.state or policy.decisions or policy.alerts)
