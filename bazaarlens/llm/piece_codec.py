@@ -32,8 +32,8 @@ NO_PAIR = np.int32(2**31 - 1)
 #: Symbols from here on are characters outside every piece: no pair holds them.
 FOREIGN = 1 << 24
 #: Words that a worker remembers between batches, and characters of texts it takes at once.
-WORDS_KEPT = 500_000
-BATCH_CHARS = 8_000_000
+WORDS_KEPT = 250_000
+BATCH_CHARS = 4_000_000
 WORDS = re.compile(" +[^ ]*")
 
 

@@ -37,7 +37,7 @@ WIDTH = 8
 LEAST_TOKENS = 5
 FILTER_BITS = 24
 TOKEN = re.compile(r"\w+|[.!?:\n]")
-TOKENS_KEPT = 600_000
+TOKENS_KEPT = 200_000
 NUMBER_WORDS = frozenset(
     "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen "
     "eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half".split()

@@ -7,13 +7,14 @@ and only qualifying groups are opened and compared member by member.
 
 To find the groups worth bounding without meeting all of them, the matrix is also kept by segments:
 the tokens of a set are dealt by hash into more segments than two linked sets can differ in, so two
-linked sets agree in at least two segments, and a group that shares no segment with a set cannot
-hold a link. Levels of sizes keep the number of segments equal for sets that can link.
+linked sets agree in at least one that is not empty, and a group that shares no segment with a set
+cannot hold a link. Levels of sizes keep the number of segments equal for sets that can link.
 
 Links inside a cluster of near copies are not all listed. Groups find the components of their own
-members first, and one pivot of each group visits the other groups; then only sets that are not in
-the largest component of a segment visit groups that are not of their own component already.
-No candidates are capped. A hot cluster is split over groups, hot segments over tasks by AQE.
+members first, while one set of each segment visits the segment's other groups; in one more round
+another set of the largest component visits those groups that are still apart. Then every set
+outside the largest component of a segment visits the groups that are not of its own component
+already and share enough segments with it, so that no link between components is lost. No candidates are capped. A hot cluster is split over groups, hot segments over tasks by AQE.
 
 Sets are compared as 64-bit token hashes, classes by 128 bits. Text: A-Z are lower-cased, words are stretches
 without ASCII white space. Null, empty and blank texts have an empty set and link with nothing. Repeated rows
@@ -23,6 +24,7 @@ that is not null; null if there is none).
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -31,7 +33,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,7 +43,7 @@ from bazaarlens.llm.components import components
 
 #: Members of a group, on average at most, and visitors that one task compares with a group.
 GROUP = 128
-WORDS_KEPT = 600_000
+WORDS_KEPT = 200_000
 #: Most bits of the table that tells which texts to read again; its size never exceeds 2 MB.
 TABLE_BITS = 24
 #: Columns of a token matrix held at once.
@@ -104,26 +107,48 @@ def size_levels(percent: int, most: int = 1 << 40) -> list[int]:
     return out
 
 
-def segments_of(level: int, percent: int) -> int:
-    """Segments of a level: two more than sets can differ in if the smaller one is of its class.
+@lru_cache
+def segments_of(level: int, percent: int) -> tuple[int, int]:
+    """Segments of a level, and how many of a set may be empty without being signatures.
 
     For sizes a <= b and a similarity of p, sets differ in (a + b)(1 - p) / (1 + p) tokens at most,
-    and b is a / p at most. 0 if only equal sets can link.
+    and b is a / p at most. With one segment more than that and `spare` others, linked sets agree in
+    spare + 1 segments, one of which is not empty if one of the sets has no more than spare empty
+    ones. Sets with more of these count the empty ones too; spare is chosen so that they are rare.
+    (0, 0) if only equal sets can link.
     """
-    a = size_levels(percent)[level + 1] - 1
+    low, a = size_levels(percent)[level], size_levels(percent)[level + 1] - 1
     differ = (a + a * 100 // percent) * (100 - percent) // (100 + percent)
-    return differ + 2 if differ else 0
-
-
-def segment_signatures(flat: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Flat signatures of all sets and the offsets of each set."""
+    if not differ:
+        return 0, 0
+    best = (1.0, 0)
+    for spare in range(17 + differ // 8):
+        empty = (differ + 1 + spare) * math.exp(-low / (differ + 1 + spare))
+        tail, term = 1.0, math.exp(-empty)
+        for k in range(spare + 1):
+            tail -= term
+            term *= empty / (k + 1)
+        best = min(best, (max(tail, 1e-5), spare))
+        if tail <= 1e-5:
+            break
+    return differ + 1 + best[1], best[1]
+
+
+def segment_signatures(flat: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
+    """Signatures of all sets, and the set, level and need of each, in no order.
+
+    need: so many signatures of the level, at least, a set shares with any that it links with at
+    that level. Linked sets agree in spare + 1 segments; of these, no more can be empty than a set
+    has empty ones. (1 for sets that have more than spare of them.)
+    """
     sizes = np.diff(offsets)
     levels = size_levels(percent)
     own = np.array([bisect_right(levels, s) - 1 for s in sizes.tolist()], np.int64)
-    out, owners = [], []
+    out = []
     for below in (0, 1):
         level = own - below
-        count = np.array([segments_of(k, percent) if k >= 0 and s else 0 for k, s in zip(level.tolist(), sizes.tolist())], np.int64)
+        shape = [segments_of(k, percent) if k >= 0 and s else (0, 0) for k, s in zip(level.tolist(), sizes.tolist())]
+        count, spare = np.array(shape, np.int64).reshape(-1, 2).T
         base = np.r_[0, np.cumsum(count)]
         if not base[-1]:
             continue
@@ -138,48 +163,86 @@ def segment_signatures(flat: np.ndarray, offsets: np.ndarray, percent: int) -> t
         number = np.arange(base[-1]) - np.repeat(base[:-1], count)
         tag = (np.repeat(level, count).astype(np.uint64) << np.uint64(40)) + number.astype(np.uint64) + np.uint64(1)
         signature = mix64(total ^ mix64(tag))
-        # linked sets agree in two segments: where a set has one empty segment at most, another one agrees
         empty = np.bincount(owner[~filled], minlength=len(sizes))
-        kept = filled | (empty[owner] > 1)
-        out.append(signature[kept])
-        owners.append(owner[kept])
+        kept = filled | (empty > spare)[owner]
+        need = np.where(empty > spare, 1, spare + 1 - empty)
+        out.append((signature[kept], owner[kept], level[owner[kept]].astype(np.int32), need[owner[kept]].astype(np.int32)))
     if not out:
-        return np.zeros(0, np.uint64), np.zeros(len(sizes) + 1, np.int64)
-    signature, owner = np.concatenate(out), np.concatenate(owners)
-    order = np.argsort(owner, kind="stable")
-    return signature[order], np.r_[0, np.cumsum(np.bincount(owner, minlength=len(sizes)))]
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _described(documents: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, size, set and check (128 bits of the set), near (min-hash), signatures of each row."""
-    schema = T.StructType(
-        [T.StructField(c, T.LongType()) for c in ("doc_id", "size", "set", "check", "near")]
-        + [T.StructField("signatures", T.ArrayType(T.LongType()))]
-    )
+def _texts(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def _described(documents: DataFrame, n: int) -> DataFrame:
+    """doc_id, size, set and check (128 bits of the set), near (min-hash) of each row."""
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "size", "set", "check", "near")])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in text_steps(batches, "text"):
             flat, offsets = shingle_sets(texts, n)
+            near = mix64(flat + np.uint64(0x632BE59BD9B4E019))
             bounds = list(zip(offsets[:-1].tolist(), offsets[1:].tolist()))
             whole = [xxhash.xxh128_intdigest(flat[a:b]) for a, b in bounds]
-            near = mix64(flat + np.uint64(0x632BE59BD9B4E019))
             least = np.array([near[a:b].min() if b > a else 0 for a, b in bounds], np.uint64)
-            signatures, ends = segment_signatures(flat, offsets, percent)
             low = (1 << 64) - 1
+            halves = [[w & low for w in whole], [w >> 64 for w in whole]]
             yield pa.RecordBatch.from_arrays(
                 [
                     rows.column("doc_id"),
                     pa.array(np.diff(offsets)),
-                    pa.array(np.array([w & low for w in whole], np.uint64).view(np.int64)),
-                    pa.array(np.array([w >> 64 for w in whole], np.uint64).view(np.int64)),
+                    *(pa.array(np.array(h, np.uint64).view(np.int64)) for h in halves),
                     pa.array(least.view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(signatures.view(np.int64))),
                 ],
                 names=schema.names,
             )
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, schema)
+    return _texts(documents).mapInArrow(run, schema)
+
+
+def _cells(documents: DataFrame, n: int, percent: int, wanted: Broadcast | None = None) -> DataFrame:
+    """(set, signature) of all rows, by 48 bits of the signature.
+
+    With a table of bits, of the signatures in it only, and with level and need.
+    """
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("set", "signature")])
+    if wanted is not None:
+        schema = schema.add("level", T.IntegerType()).add("need", T.IntegerType())
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in text_steps(batches, "text"):
+            flat, offsets = shingle_sets(texts, n)
+            signature, owner, *more = segment_signatures(flat, offsets, percent)
+            signature = (signature >> np.uint64(16)).astype(np.int64)
+            if wanted is not None:
+                held = wanted.value
+                place = signature & (len(held) * 64 - 1)
+                some = (held[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
+                signature, owner = signature[some], owner[some]
+                more = [pa.array(x[some]) for x in more]
+            bounds = zip(offsets[:-1].tolist(), offsets[1:].tolist())
+            sets = np.array([xxhash.xxh128_intdigest(flat[a:b]) & ((1 << 64) - 1) for a, b in bounds], np.uint64)
+            columns = [pa.array(sets.view(np.int64)[owner]), pa.array(signature)]
+            yield pa.RecordBatch.from_arrays(columns + (more if wanted is not None else []), names=schema.names)
+
+    return _texts(documents).mapInArrow(run, schema)
+
+
+def bit_table(rows: DataFrame, number: Column, bits: int) -> Broadcast:
+    """A table of 2^bits bits in which the low bits of each row's number are set, on all executors.
+
+    Its size is fixed, whatever the number of rows: where it fills up it lets more rows pass, and the
+    exact join that follows every use does more work.
+    """
+    place = number.bitwiseAND((1 << bits) - 1)
+    word = F.shiftright(place, 6).cast("int").alias("word")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))
+    filled = rows.groupBy(word).agg(F.bit_or(bit).alias("mask")).toPandas()
+    table = np.zeros(1 << (bits - 6), np.uint64)
+    table[filled["word"].to_numpy(np.int64)] = filled["mask"].to_numpy(np.int64).view(np.uint64)
+    return rows.sparkSession.sparkContext.broadcast(table)
 
 
 def _sets_of(documents: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -187,13 +250,7 @@ def _sets_of(documents: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
     A table of bits, at most 2 MB, says which texts may be wanted; the join with wanted is exact.
     """
-    bits = F.xxhash64("leader").bitwiseAND((1 << TABLE_BITS) - 1)
-    word = F.shiftright(bits, 6).cast("int").alias("word")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), bits.bitwiseAND(63).cast("int"))
-    filled = wanted.groupBy(word).agg(F.bit_or(bit).alias("mask")).toPandas()
-    table = np.zeros(1 << (TABLE_BITS - 6), np.uint64)
-    table[filled["word"].to_numpy(np.int64)] = filled["mask"].to_numpy(np.int64).view(np.uint64)
-    held = documents.sparkSession.sparkContext.broadcast(table)
+    held = bit_table(wanted, F.xxhash64("leader"), TABLE_BITS)
     schema = T.StructType([T.StructField("leader", T.LongType()), T.StructField("set", T.LongType()), T.StructField("tokens", T.BinaryType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,11 +292,12 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray], union: np.ndarray
 
     (lr, lc), (rr, rc) = entries(left), entries(right)
     for a in range(0, len(union), COLUMNS):
-        x = np.zeros((len(left), COLUMNS), np.float32)
-        y = np.zeros((len(right), COLUMNS), np.float32)
-        inside = (lc >= a) & (lc < a + COLUMNS)
+        width = min(COLUMNS, len(union) - a)
+        x = np.zeros((len(left), width), np.float32)
+        y = np.zeros((len(right), width), np.float32)
+        inside = (lc >= a) & (lc < a + width)
         x[lr[inside], lc[inside] - a] = 1
-        inside = (rc >= a) & (rc < a + COLUMNS)
+        inside = (rc >= a) & (rc < a + width)
         y[rr[inside], rc[inside] - a] = 1
         out += x @ y.T
     return out
@@ -302,7 +360,11 @@ def _visits(sets: DataFrame, visits: DataFrame, percent: int, fresh: bool) -> Da
     blocks, and its members go to each of them, so no task holds more than a group and a block.
     """
     blocks = visits.groupBy("target").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("blocks"))
-    members = sets.join(blocks, sets["group"] == blocks["target"], "left" if fresh else "inner").select(
+    visited = sets.join(blocks, sets["group"] == blocks["target"], "left" if fresh else "inner")
+    if fresh:  # one member alone that nothing visits has nothing to compare
+        sizes = sets.groupBy("group").agg(F.count(F.lit(1)).alias("members"))
+        visited = visited.join(sizes, "group").where("members > 1 OR blocks IS NOT NULL")
+    members = visited.select(
         "group",
         F.explode(F.sequence(F.lit(0), F.greatest(F.coalesce("blocks", F.lit(1)), F.lit(1)) - 1)).alias("block"),
         "set",
@@ -330,19 +392,51 @@ def _visits(sets: DataFrame, visits: DataFrame, percent: int, fresh: bool) -> Da
     return rows.groupBy("group", "block").applyInPandas(run, LINK)
 
 
+def _with_components(sets: DataFrame, known: DataFrame) -> DataFrame:
+    return sets.drop("component").join(known, "set", "left").withColumn("component", F.coalesce("component", "set"))
+
+
+def _apart(matrix: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cells with components, those of segments that hold more than one component, with the largest
+    one, and the groups of these segments with the least and largest component of their members."""
+    now = stored(_with_components(matrix, known), "matrix-components")
+    major = (
+        now.groupBy("signature", "component")
+        .agg(F.count(F.lit(1)).alias("times"))
+        .groupBy("signature")
+        .agg(F.max(F.struct("times", "component"))["component"].alias("major"), F.count(F.lit(1)).alias("kinds"))
+        .where("kinds > 1")
+    )
+    mixed = now.groupBy(F.col("group").alias("target")).agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    held = now.join(major, "signature")
+    targets = held.select("signature", F.col("group").alias("target")).distinct().join(mixed, "target")
+    return now, held, targets
+
+
 def jaccard_components(documents: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """(doc_id, n_shingles, component_id): one row for each row, components of the exact links.
 
     Two sets link when 100 * intersection >= percent * union.
     """
-    rows = stored(_described(documents, n, percent), "shingle-rows")
+    rows = stored(_described(documents, n), "shingle-rows")
     filled = rows.where("size > 0")
-    # distinct texts that share a segment with another one
-    cells = filled.select("set", F.explode("signatures").alias("signature"))
-    shared = (
-        cells.groupBy("signature").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low <> high").select("signature")
+    # segments that two different sets share; 48 bits of each set are enough to tell them apart
+    part = F.shiftright("set", 16)
+    shared = stored(
+        _cells(documents, n, percent)
+        .groupBy("signature")
+        .agg(F.min(part).alias("low"), F.max(part).alias("high"))
+        .where("low <> high")
+        .select("signature"),
+        "shared-segments",
     )
-    cells = stored(cells.join(shared, "signature").distinct(), "shared-segments")
+    wide = min(TABLE_BITS + 3, max(12, int(shared.count()).bit_length() + 4))
+    cells = _cells(documents, n, percent, bit_table(shared, F.col("signature"), wide))
+    cells = stored(cells.join(shared, "signature").distinct(), "shared-cells")
+    # a set links at a level only if it shares as many segments as that takes
+    able = cells.groupBy("set", "level").agg(F.count(F.lit(1)).alias("times"), F.max("need").alias("least"))
+    cells = cells.join(able.where("times >= least").select("set", "level"), ["set", "level"], "left_semi")
+    cells = stored(cells, "able-cells")
     classes = filled.groupBy("set", "check").agg(
         F.min("doc_id").alias("leader"), F.max("size").alias("size"), F.max("near").alias("near")
     )
@@ -358,47 +452,50 @@ def jaccard_components(documents: DataFrame, n: int = 3, percent: int = 90) -> D
     )
     sets = stored(_sets_of(documents, grouped, n).withColumn("component", F.col("set")), "candidate-tokens")
     place = sets.select("set", "group")
-    matrix = stored(cells.join(place, "set"), "token-groups").select("signature", "set", "group")
+    matrix = stored(cells.join(place, "set"), "token-groups").select("signature", "level", "need", "set", "group")
     columns = matrix.select("signature", F.col("group").alias("target")).distinct()
 
-    pivots = place.groupBy("group").agg(F.min("set").alias("set"))
+    # first round: members of each group, and one set of each segment with the segment's groups
+    leads = matrix.groupBy("signature").agg(F.min(F.struct("set", "group")).alias("lead"))
     first = (
-        matrix.join(pivots, ["group", "set"], "left_semi")
-        .join(columns, "signature")
-        .where(F.col("target") != F.col("group"))
-        .select("set", "target")
+        columns.join(leads, "signature")
+        .where(F.col("target") != F.col("lead.group"))
+        .select(F.col("lead.set").alias("set"), "target")
         .distinct()
     )
-    links = stored(_visits(sets, first, percent, True), "first-links")
-    known = stored(components(links), "first-components").withColumnRenamed("node", "set")
+    links = stored(_visits(sets, first, percent, True), "group-links")
+    for turn in (1,):
+        known = stored(components(links), "group-components").withColumnRenamed("node", "set")
+        _, held, targets = _apart(matrix, known)
+        # another set of the largest component of each mixed segment visits the groups still apart
+        leads = (
+            held.where(F.col("component") == F.col("major"))
+            .groupBy("signature")
+            .agg(F.min(F.struct(F.xxhash64("set", F.lit(turn)), "set", "component")).alias("lead"))
+        )
+        again = (
+            targets.join(leads, "signature")
+            .where((F.col("low") != F.col("lead.component")) | (F.col("high") != F.col("lead.component")))
+            .select(F.col("lead.set").alias("set"), "target")
+            .distinct()
+        )
+        links = stored(links.union(_visits(_with_components(sets, known), again, percent, False)), "group-links")
+    known = stored(components(links), "group-components").withColumnRenamed("node", "set")
 
     # what is left: sets outside the largest component of a segment, and groups of other components
-    now = stored(
-        matrix.join(known, "set", "left").withColumn("component", F.coalesce("component", "set")), "matrix-components"
-    )
-    major = (
-        now.groupBy("signature", "component")
-        .agg(F.count(F.lit(1)).alias("times"))
-        .groupBy("signature")
-        .agg(F.max(F.struct("times", "component"))["component"].alias("major"), F.count(F.lit(1)).alias("kinds"))
-        .where("kinds > 1")
-    )
-    mixed = now.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    held = now.join(major, "signature")
-    targets = (
-        held.select("signature", F.col("group").alias("target"))
-        .distinct()
-        .join(mixed.withColumnRenamed("group", "target"), "target")
-    )
+    _, held, targets = _apart(matrix, known)
     second = (
         held.where(F.col("component") != F.col("major"))
         .join(targets, "signature")
         .where((F.col("target") != F.col("group")) & ~((F.col("low") == F.col("high")) & (F.col("low") == F.col("component"))))
+        .groupBy("set", "target", "level")
+        .agg(F.count(F.lit(1)).alias("times"), F.max("need").alias("least"))
+        # of the segments that two sets share, each may be seen from the side of either of them
+        .where("2 * times >= least")
         .select("set", "target")
         .distinct()
     )
-    later = sets.drop("component").join(known, "set", "left").withColumn("component", F.coalesce("component", "set"))
-    more = stored(_visits(later, second, percent, False), "second-links")
+    more = stored(_visits(_with_components(sets, known), second, percent, False), "second-links")
     final = components(links.union(more)).withColumnRenamed("node", "set")
 
     owned = classes.select("set", "check", "leader").join(final, "set", "left").withColumn("component", F.coalesce("component", "set"))
