@@ -127,14 +127,22 @@ def _as_array(node: Column) -> Column:
     return F.when(node.startswith("["), F.from_json(node, "array<string>")).otherwise(F.array(node))
 
 
+def _flat(node: Column, depth: int = 4) -> Column:
+    """Items of a JSON array and of the arrays inside it, down to `depth` arrays in each other."""
+    items = _as_array(node)
+    for _ in range(depth - 1):
+        items = F.flatten(F.transform(items, _as_array))
+    return items
+
+
 def jsonld_products(pages: DataFrame) -> DataFrame:
     """Product, offer and list items of JSON-LD blocks, with the first offer's price."""
     blocks = pages.select(
         "page_id", F.col("url").alias("base_url"), F.posexplode(F.regexp_extract_all("html", F.lit(LD_PATTERN), F.lit(1))).alias("block", "raw")
     ).withColumn("raw", F.trim("raw"))
-    items = blocks.select("page_id", "base_url", "block", F.posexplode(_as_array(F.col("raw"))).alias("n", "node"))
+    items = blocks.select("page_id", "base_url", "block", F.posexplode(_flat(F.col("raw"))).alias("n", "node"))
     graph = F.get_json_object("node", "$['@graph']")
-    both = F.concat(F.array("node"), F.when(graph.isNotNull(), _as_array(graph)).otherwise(F.array().cast("array<string>")))
+    both = F.concat(F.array("node"), F.when(graph.isNotNull(), _flat(graph)).otherwise(F.array().cast("array<string>")))
     objects = items.select("page_id", "base_url", "block", "n", F.posexplode(both).alias("g", "o"))
     kind = F.coalesce(F.get_json_object("o", "$['@type']"), F.get_json_object("o", "$.type"))
     kinds = F.transform(_as_array(kind), lambda k: F.lower(F.translate(k, '"', "")))
@@ -150,7 +158,8 @@ def jsonld_products(pages: DataFrame) -> DataFrame:
     return rows.select(
         "page_id",
         "base_url",
-        (F.col("block") * 10000 + F.col("n") * 100 + F.col("g")).alias("position"),
+        # a million items of each kind keep their order
+        (F.col("block").cast("long") * 10**12 + F.col("n").cast("long") * 10**6 + F.col("g")).alias("position"),
         F.trim(field(("p", "name"), ("p", "title"), ("o", "name"))).alias("title"),
         F.translate(price, ",", ".").try_cast("double").alias("price"),
         text(F.get_json_object(offer, "$.priceCurrency")).alias("currency"),
@@ -160,16 +169,34 @@ def jsonld_products(pages: DataFrame) -> DataFrame:
 
 
 def join_url(base: Column, link: Column) -> Column:
-    """Absolute form of a link: full, host-relative, root-relative or beside the page."""
-    root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
-    folder = F.regexp_replace(F.regexp_replace(base, r"[?#].*$", ""), r"(?<=[^/:])/[^/]*$", "")
+    """Absolute form of a link on a page: full, host-relative, root-relative, relative, query or mark.
+
+    Steps "." and ".." of a path are taken, as browsers do.
+    """
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*:)", 1)
+    root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
+    page = F.regexp_replace(base, r"[?#].*$", "")
+    folder = F.regexp_replace(F.substring(page, F.length(root) + 1, F.length(page)), r"[^/]*$", "")
+    tail = F.regexp_extract(link, r"[?#].*$", 0)
+    path = F.regexp_replace(link, r"[?#].*$", "")
+    whole = F.when(path.startswith("/"), path).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), path))
+    steps = F.split(whole, "/")
+    taken = F.aggregate(
+        steps,
+        F.array().cast("array<string>"),
+        lambda done, step: F.when(step == "..", F.when(F.size(done) > 1, F.slice(done, 1, F.size(done) - 1)).otherwise(done))
+        .when(step == ".", done)
+        .otherwise(F.concat(done, F.array(step))),
+    )
+    ends_on_step = F.element_at(steps, -1).isin(".", "..")
+    kept = F.when(ends_on_step, F.concat(taken, F.array(F.lit("")))).otherwise(taken)
     return (
-        F.when(link.isNull(), base)
+        F.when(link.isNull() | (link == ""), base)
         .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), link)
         .when(link.startswith("//"), F.concat(scheme, link))
-        .when(link.startswith("/"), F.concat(root, link))
-        .otherwise(F.concat(folder, F.lit("/"), link))
+        .when(link.startswith("?"), F.concat(page, link))
+        .when(link.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), link))
+        .otherwise(F.concat(root, F.array_join(kept, "/"), tail))
     )
 
 
@@ -190,7 +217,7 @@ def listing_cards(pages: DataFrame, source: Column, max_items: int = 100) -> Dat
     ).withColumn("quality", listing_quality(F.col("url"), F.col("title"), F.col("offer.value")))
     accepted = cards.where("quality.accept").select(
         "page_id",
-        (F.col("position") + 1_000_000).alias("position"),
+        (F.col("position").cast("long") + 10**18).alias("position"),
         "title",
         "url",
         F.col("offer.value").alias("price"),
@@ -200,7 +227,7 @@ def listing_cards(pages: DataFrame, source: Column, max_items: int = 100) -> Dat
         F.when(matches(F.col("card"), NOISE_TEXT), F.col("title")).otherwise(F.col("card")).alias("spec_text"),
     )
     products = jsonld_products(pages).select(
-        "page_id", F.col("position").cast("int").alias("position"), "title", "url", "price", "currency", "image_url",
+        "page_id", "position", "title", "url", "price", "currency", "image_url",
         F.lit("jsonld").alias("reason"), F.col("title").alias("spec_text"),
     )
     rows = products.unionByName(accepted).withColumn("source", source)

@@ -218,3 +218,31 @@ def test_card_text_of_nested_markup(spark):
     page = spark.createDataFrame([(1, "https://a.it/list", html)], "page_id long, url string, html string")
     card = pages.anchors(page).first()
     assert card["card"] == "Buy Pixel 8 come nuovo 250 €" and card["url"] == "https://a.it/item/1" and card["label"] == "Buy"
+
+
+def test_links_join_as_in_browsers(spark):
+    from urllib.parse import urljoin
+
+    from pyspark.sql import functions as F
+
+    from bazaarlens.operators.pages import join_url
+
+    bases = ("https://x.it/a/list?p=1", "https://x.it", "https://x.it/a/b/c/", "https://x.it/a/b/c#z")
+    links = ("?id=5", "../c/d", "./q", "q/./r?x=../y", "/abs/../k", "//h/p", "http://o/p", "#m", "..", ".", "../../../up", "")
+    rows = spark.createDataFrame([(b, u) for b in bases for u in links], "b string, u string")
+    for r in rows.withColumn("j", join_url(F.col("b"), F.col("u"))).collect():
+        assert r["j"] == urljoin(r["b"], r["u"]), (r["b"], r["u"])
+
+
+def test_jsonld_keeps_order_and_nested_lists(spark):
+    import json
+
+    from bazaarlens.operators.pages import jsonld_products
+
+    many = [{"@type": "Product", "name": f"n{i}", "url": f"?id={i}", "offers": {"price": i}} for i in range(150)]
+    blocks = ({"@graph": many}, {"@graph": many}, [[{"@type": "Product", "name": "deep", "url": "../x"}]])
+    html = "".join(f'<script type="application/ld+json">{json.dumps(b)}</script>' for b in blocks)
+    pages = spark.createDataFrame([(1, "https://x.it/a/list?p=1", html)], "page_id long, url string, html string")
+    got = sorted(jsonld_products(pages).collect(), key=lambda r: r["position"])
+    assert [r["title"] for r in got] == [f"n{i}" for i in range(150)] * 2 + ["deep"]
+    assert len({r["position"] for r in got}) == 301 and got[-1]["url"] == "https://x.it/x"
