@@ -8,7 +8,7 @@ from check import compare, connect
 from bazaarlens.plans import ORACLES, QUERIES
 
 FOLDER = os.environ.get("BAZAARLENS_SF", "/root/testdata/sf0.001")
-SLOW = {"resolve_batch", "resolver_candidates", "scored_category_view", "client_shortlist", "classification_summary"}
+SLOW = {"resolve_batch", "resolver_candidates"}
 NAMES = [n for n in ORACLES if os.environ.get("BAZAARLENS_ALL") or n not in SLOW]
 
 
