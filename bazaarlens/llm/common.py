@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters that one step inside a task holds at once. A longer single text is a step of its own.
-STEP_CHARS = 4_000_000
+STEP_CHARS = 2_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:

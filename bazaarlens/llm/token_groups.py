@@ -43,7 +43,9 @@ from bazaarlens.llm.components import components
 
 #: Members of a group, on average at most, and visitors that one task compares with a group.
 GROUP = 128
-WORDS_KEPT = 200_000
+WORDS_KEPT = 150_000
+#: Characters of texts that a task hashes at once.
+STEP = 1_000_000
 #: Most bits of the table that tells which texts to read again; its size never exceeds 2 MB.
 TABLE_BITS = 24
 #: Columns of a token matrix held at once.
@@ -181,7 +183,7 @@ def _described(documents: DataFrame, n: int) -> DataFrame:
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "size", "set", "check", "near")])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in text_steps(batches, "text"):
+        for rows, texts in text_steps(batches, "text", STEP):
             flat, offsets = shingle_sets(texts, n)
             near = mix64(flat + np.uint64(0x632BE59BD9B4E019))
             bounds = list(zip(offsets[:-1].tolist(), offsets[1:].tolist()))
@@ -212,7 +214,7 @@ def _cells(documents: DataFrame, n: int, percent: int, wanted: Broadcast | None
         schema = schema.add("level", T.IntegerType()).add("need", T.IntegerType())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in text_steps(batches, "text"):
+        for _, texts in text_steps(batches, "text", STEP):
             flat, offsets = shingle_sets(texts, n)
             signature, owner, *more = segment_signatures(flat, offsets, percent)
             signature = (signature >> np.uint64(16)).astype(np.int64)
@@ -259,7 +261,7 @@ def _sets_of(documents: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             place = batch.column("place").to_numpy()
             seen = (table[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1)
             chosen = batch.take(pa.array(np.flatnonzero(seen)))
-            for rows, texts in text_steps([chosen], "text"):
+            for rows, texts in text_steps([chosen], "text", STEP):
                 flat, offsets = shingle_sets(texts, n)
                 parts = [flat[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
                 sets = [xxhash.xxh128_intdigest(p) & ((1 << 64) - 1) for p in parts]
