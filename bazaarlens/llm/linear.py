@@ -49,9 +49,9 @@ def fit_logistic(rows, cols, values, labels, weights, width, decay=1.0, rounds=1
     m, v, mb, vb = np.zeros(width), np.zeros(width), 0.0, 0.0
     total = weights.sum()
     for step in range(1, rounds + 1):
-        score = np.bincount(rows, values * w[cols], minlength=n) + bias
+        score = np.bincount(rows, values * w[cols].astype(values.dtype), minlength=n) + bias
         error = (sigmoid(score) - labels) * weights / total
-        grad = np.bincount(cols, values * error[rows], minlength=width) + decay * w / total
+        grad = np.bincount(cols, values * error.astype(values.dtype)[rows], minlength=width) + decay * w / total
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         mb, vb = 0.9 * mb + 0.1 * error.sum(), 0.999 * vb + 0.001 * error.sum() ** 2
         fix1, fix2 = 1 - 0.9**step, 1 - 0.999**step

@@ -205,10 +205,11 @@ def _cotrain(found: pa.Table, label: np.ndarray, known: np.ndarray, rounds: int,
     model = QualityModel()
     lists = found.column("bucket").combine_chunks()
     sizes = np.diff(lists.offsets.to_numpy())
-    cols = lists.flatten().to_numpy().astype(np.int64)
-    times = found.column("times").combine_chunks().flatten().to_numpy().astype(float)
-    rows = np.repeat(np.arange(len(sizes)), sizes)
-    values = times * SCALE / np.maximum(np.bincount(rows, times, minlength=len(sizes)), 1)[rows]
+    # short numbers: these arrays are what the driver holds most of
+    cols = lists.flatten().to_numpy()
+    values = found.column("times").combine_chunks().flatten().to_numpy().astype(np.float32)
+    rows = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    values *= (SCALE / np.maximum(np.bincount(rows, values, minlength=len(sizes)), 1)).astype(np.float32)[rows]
     stats = np.array(found.column("stats").to_pylist())
     model.edges = np.quantile(stats[known], np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T
     columns = model.meta_columns(stats, found.column("source").to_pylist(), found.column("lang").to_pylist())
@@ -235,7 +236,9 @@ def _cotrain(found: pa.Table, label: np.ndarray, known: np.ndarray, rounds: int,
         args = (rows, cols, values, 1 << BITS) if view == 0 else (meta_rows, meta_cols, np.ones(len(meta_rows)), WIDTH)
         r, c, v, width = args
         inside = use[r]
-        w, bias = fit_logistic(r[inside], c[inside], v[inside], np.nan_to_num(target), weight, width, decay=0.3)
+        some = (r, c, v) if inside.all() else (r[inside], c[inside], v[inside])
+        w, bias = fit_logistic(*some, np.nan_to_num(target), weight, width, decay=0.3)
+        del some, inside
         if view == 0:
             model.content, model.content_bias = w, bias
         else:
