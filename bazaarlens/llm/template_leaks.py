@@ -2,7 +2,11 @@
 
 Texts become sequences of words in which numbers, names and units are typed placeholders (runs of
 numbers, and of names, are one). A number is a word of digits or a number word, a unit a unit word
-right after a number, a name a capitalised word (not one in capitals) that does not start a sentence. Windows of `width`
+right after a number, a name a capitalised word (not one in capitals). A word that starts a sentence may be a name
+or not, and a copy may be in other case, so a text has three readings: no word is a name (CASELESS), capitalised
+words inside sentences are (INNER), or those that start a sentence are too, unless they are function words (OPENING).
+An item is looked for in CASELESS, and in each other reading that gives it further placeholders; windows meet windows
+of their own reading only, and an item leaks if it does in one reading. Windows of `width`
 places (a shorter item is one window) are hash-joined between documents and benchmark items. At one
 alignment, equal items' values must always meet equal document values: a template that matches with
 inconsistent slots is no leak.
@@ -23,6 +27,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +54,16 @@ UNIT_WORDS = frozenset(
     "second seconds min minute minutes h hour hours day days week weeks month months year years dollar dollars euro "
     "euros cent cents usd eur percent degree degrees kmh mph kb mb gb tb hz khz mhz ghz w kw watt watts volt volts".split()
 )
+#: Words that are no names where they start a sentence.
+FUNCTION_WORDS = frozenset(
+    "a an the this that these those some any all both each every no i you he she it we they my your his her its our their "
+    "what which who whom whose when where why how if then else and or but so because since while although though as at by "
+    "for from in into of off on onto out over under to up with without within after before between during about above "
+    "below is are was were be been am do does did has have had can could would shall should might must not there "
+    "here let given suppose assume find calculate compute determine write explain name choose".split()
+)
 WORD, NUMBER, UNIT, NAME = 0, 1, 2, 3
+CASELESS, INNER, OPENING = 0, 1, 2
 #: Hashes of the placeholders, by kind.
 HOLDERS = np.array([0, 0x9AE16A3B2F90404F, 0xC949D7C7509E6557, 0xFF51AFD7ED558CCD], np.uint64)
 
@@ -83,6 +98,7 @@ class Tokens(dict):
                 (
                     1 if t in ".!?:\n" else 2 if t[0].isdigit() or w in NUMBER_WORDS
                     else (4 if w in UNIT_WORDS else 0) + (8 if t[0].isupper() and not t[1:].isupper() else 0)
+                    + (16 if w in FUNCTION_WORDS else 0)
                     for t, w in zip(self.fresh, low)
                 ),
                 np.uint8,
@@ -96,8 +112,8 @@ class Tokens(dict):
 _TOKENS = Tokens()
 
 
-def templates(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, kind, template hash and value of every place of the texts' templates."""
+def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, value, flags and whether it starts a sentence, of every word of the texts."""
     split = [TOKEN.findall(t) for t in texts]
     index = _TOKENS.number(split)
     owner = np.repeat(np.arange(len(texts), dtype=np.int32), np.fromiter(map(len, split), np.int64, len(split)))
@@ -105,13 +121,22 @@ def templates(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     mark = flags == 1
     starts = np.r_[True, mark[:-1] | (owner[1:] != owner[:-1])][: len(owner)]
     keep = ~mark
-    flags, value, owner, starts = flags[keep], value[keep], owner[keep], starts[keep]
-    kind = np.where(flags == 2, NUMBER, np.where((flags & 8 > 0) & ~starts, NAME, WORD)).astype(np.uint8)
+    return owner[keep], value[keep], flags[keep], starts[keep]
+
+
+def templates(words, reading: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, kind, template hash and value of every place of the texts' templates in a reading."""
+    owner, value, flags, starts = words
+    kind = np.where(flags == 2, NUMBER, WORD).astype(np.uint8)
+    if reading != CASELESS:
+        name = flags & 8 > 0
+        name &= ~starts | (flags & 16 == 0) if reading == OPENING else ~starts
+        kind[name] = NAME
     same = np.r_[False, owner[1:] == owner[:-1]][: len(owner)]
     after = np.r_[0, kind[:-1]][: len(kind)].astype(np.uint8)
     kind[same & (flags & 4 > 0) & (after == NUMBER)] = UNIT
-    # runs of numbers and of names become one place, whose value is that of the whole run
-    runs = same & (kind == after) & ((kind == NUMBER) | (kind == NAME))
+    # runs of numbers, and of names of one sentence, become one place, whose value is that of the whole run
+    runs = same & (kind == after) & ((kind == NUMBER) | (kind == NAME) & ~starts)
     head = np.flatnonzero(~runs)
     if len(head):
         place = np.arange(len(kind)) - np.repeat(head, np.diff(np.r_[head, len(kind)]))
@@ -121,24 +146,38 @@ def templates(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return owner, kind, np.where(kind == WORD, value, HOLDERS[kind]), value
 
 
-def windows(owner: np.ndarray, kind: np.ndarray, template: np.ndarray, width: int, least_words: int):
-    """Starts and hashes of the windows of one width that hold enough literal words."""
+STEP = 0x9E3779B97F4A7C15
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def sums(template: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the hash of a window of any width is taken from: running sums, and the powers that shift them."""
+    need = len(template) + 1
+    if len(_POWERS[0]) < need:
+        for k, base in enumerate((STEP, pow(STEP, -1, 1 << 64))):
+            _POWERS[k] = np.cumprod(np.r_[np.uint64(1), np.full(need, base, np.uint64)], dtype=np.uint64)
+    total = np.zeros(need, np.uint64)
+    np.cumsum(template * _POWERS[1][: len(template)], out=total[1:], dtype=np.uint64)
+    return total, _POWERS[0]
+
+
+def windows(owner: np.ndarray, kind: np.ndarray, summed, width: int, least_words: int, reading: int):
+    """Starts and hashes of the windows of one width and reading that hold enough literal words."""
     m = len(owner) - width + 1
     if m <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    value = np.full(m, width, np.uint64)
-    for k in range(width):
-        value *= np.uint64(0x9E3779B97F4A7C15)
-        value += template[k : m + k]
     words = np.r_[0, np.cumsum(kind == WORD)]
     good = (owner[:m] == owner[width - 1 :]) & (words[width:] - words[:m] >= least_words)
     at = np.flatnonzero(good)
-    return at, mix64(value[at])
+    total, power = summed
+    value = (total[at + width] - total[at]) * power[at + width - 1]
+    return at, mix64(value + np.uint64(width + (reading << 32)) * np.uint64(0xD6E8FEB86659FD93))
 
 
 WINDOW = T.StructType(
     [
         T.StructField("id", T.LongType()),
+        T.StructField("reading", T.IntegerType()),
         T.StructField("place", T.LongType()),
         T.StructField("window", T.LongType()),
         T.StructField("slots", T.ArrayType(T.LongType())),
@@ -146,7 +185,7 @@ WINDOW = T.StructType(
 )
 
 
-def _rows(ids: pa.Array, owner, kind, value, at, hashes, width: int) -> pa.RecordBatch:
+def _rows(ids: pa.Array, reading: int, owner, kind, value, at, hashes, width: int) -> pa.RecordBatch:
     """Windows as rows: place in the text, hash, and the values of their slots in order."""
     first = np.r_[0, np.flatnonzero(owner[1:] != owner[:-1]) + 1]
     base = np.zeros(len(ids), np.int64)
@@ -161,6 +200,7 @@ def _rows(ids: pa.Array, owner, kind, value, at, hashes, width: int) -> pa.Recor
     return pa.RecordBatch.from_arrays(
         [
             ids.take(pa.array(owner[at])).cast(pa.int64()),
+            pa.array(np.full(len(at), reading, np.int32)),
             pa.array(at - base[owner[at]]),
             pa.array(hashes.view(np.int64)),
             lists,
@@ -170,7 +210,7 @@ def _rows(ids: pa.Array, owner, kind, value, at, hashes, width: int) -> pa.Recor
 
 
 def item_windows(benchmark: DataFrame, width: int = WIDTH, least_words: int = 4) -> DataFrame:
-    """Windows of the distinct items: id, place, window, slots and size (places of a window)."""
+    """Windows of the distinct items: id, reading, place, window, slots and size (places of a window)."""
     items = (
         benchmark.where(F.col("item_id").isNotNull())
         .select(F.col("item_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -181,18 +221,25 @@ def item_windows(benchmark: DataFrame, width: int = WIDTH, least_words: int = 4)
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in text_steps(batches, "text"):
-            owner, kind, template, value = templates(texts)
-            lengths = np.bincount(owner, minlength=len(texts))
-            for size in range(LEAST_TOKENS, width + 1):
-                # an item shorter than a window is one window of its own length
-                mine = lengths >= width if size == width else lengths == size
-                at, hashes = windows(owner, kind, template, size, min(least_words, size))
-                some = mine[owner[at]]
-                if some.any():
-                    batch = _rows(rows.column("id"), owner, kind, value, at[some], hashes[some], size)
-                    yield pa.RecordBatch.from_arrays(
-                        [*batch.columns, pa.array(np.full(batch.num_rows, size))], names=schema.names
-                    )
+            words = words_of(texts)
+            literal = None
+            for reading in (CASELESS, INNER, OPENING):
+                owner, kind, template, value = templates(words, reading)
+                lengths = np.bincount(owner, minlength=len(texts))
+                # a reading without further names is the one before
+                before, literal = literal, np.bincount(owner[kind == WORD], minlength=len(texts))
+                further = literal < before if reading else np.ones(len(texts), bool)
+                summed = sums(template)
+                for size in range(LEAST_TOKENS, width + 1):
+                    # an item shorter than a window is one window of its own length
+                    mine = further & (lengths >= width if size == width else lengths == size)
+                    at, hashes = windows(owner, kind, summed, size, min(least_words, size), reading)
+                    some = mine[owner[at]]
+                    if some.any():
+                        batch = _rows(rows.column("id"), reading, owner, kind, value, at[some], hashes[some], size)
+                        yield pa.RecordBatch.from_arrays(
+                            [*batch.columns, pa.array(np.full(batch.num_rows, size))], names=schema.names
+                        )
 
     return items.mapInArrow(cut, schema)
 
@@ -207,28 +254,33 @@ def find_leaks(
 ) -> DataFrame:
     """(doc_id, item_id, matched, item_windows, run): one row for each document that leaks an item.
 
-    matched: distinct windows of the item at consistent alignments, run: most at one alignment.
+    matched: distinct windows of the item at consistent alignments, run: most at one alignment; both
+    are of the first reading in which the document leaks the item.
     """
     items = stored(item_windows(benchmark, width, least_words), "item-windows")
     word = F.shiftright(F.col("window").bitwiseAND((1 << FILTER_BITS) - 1), 6)
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("window").bitwiseAND(63).cast("int"))
     # 2^18 rows at most, whatever the number of items
-    filled = items.groupBy(word.cast("int").alias("word"), "size").agg(F.bit_or(bit).alias("mask")).toPandas()
+    filled = items.groupBy(word.cast("int").alias("word")).agg(F.bit_or(bit).alias("mask")).toPandas()
+    shapes = sorted(map(tuple, items.select("reading", "size").distinct().collect()))
     table = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
     np.bitwise_or.at(table, filled["word"].to_numpy(np.int64), filled["mask"].to_numpy(np.int64).view(np.uint64))
-    held = documents.sparkSession.sparkContext.broadcast((table, sorted(filled["size"].unique().tolist())))
+    held = documents.sparkSession.sparkContext.broadcast((table, shapes))
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, sizes = held.value
+        table, shapes = held.value
         for rows, texts in text_steps(batches, "__text"):
-            owner, kind, template, value = templates(texts)
-            for size in sizes:
-                at, hashes = windows(owner, kind, template, size, min(least_words, size))
-                place = hashes & np.uint64((1 << FILTER_BITS) - 1)
-                seen = (table[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1)
-                some = np.flatnonzero(seen)
-                if len(some):
-                    yield _rows(rows.column("__id"), owner, kind, value, at[some], hashes[some], size)
+            words = words_of(texts)
+            for reading, sizes in groupby(shapes, itemgetter(0)):
+                owner, kind, template, value = templates(words, reading)
+                summed = sums(template)
+                for _, size in sizes:
+                    at, hashes = windows(owner, kind, summed, size, min(least_words, size), reading)
+                    place = hashes & np.uint64((1 << FILTER_BITS) - 1)
+                    seen = (table[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1)
+                    some = np.flatnonzero(seen)
+                    if len(some):
+                        yield _rows(rows.column("__id"), reading, owner, kind, value, at[some], hashes[some], size)
 
     passed = (
         documents.where(F.col("doc_id").isNotNull())
@@ -241,20 +293,22 @@ def find_leaks(
     hits = passed.join(mine, "window").where(F.size("slots") == F.size("item_slots"))
     # an alignment holds at most one row for each window of the item and repeated row of the document
     aligned = (
-        hits.groupBy(F.col("id").alias("doc_id"), "item_id", (F.col("place") - F.col("item_place")).alias("shift"))
+        hits.groupBy(F.col("id").alias("doc_id"), "item_id", "reading", (F.col("place") - F.col("item_place")).alias("shift"))
         .agg(
             F.collect_set("item_place").alias("places"),
             F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots")))).alias("pairs"),
         )
         .where(F.size(F.array_distinct(F.col("pairs.item_slots"))) == F.size("pairs"))
     )
-    totals = items.groupBy(F.col("id").alias("item_id")).agg(F.count(F.lit(1)).alias("item_windows"))
+    totals = items.groupBy(F.col("id").alias("item_id"), "reading").agg(F.count(F.lit(1)).alias("item_windows"))
     return (
         aligned.withColumn("run", F.size("places"))
         .withColumn("place", F.explode("places"))
-        .groupBy("doc_id", "item_id")
+        .groupBy("doc_id", "item_id", "reading")
         .agg(F.countDistinct("place").alias("matched"), F.max("run").cast("long").alias("run"))
-        .join(totals, "item_id")
+        .join(totals, ["item_id", "reading"])
         .where((F.col("matched") >= least_share * F.col("item_windows")) | (F.col("run") >= least_run))
-        .select("doc_id", "item_id", "matched", "item_windows", "run")
+        .groupBy("doc_id", "item_id")
+        .agg(F.min(F.struct("reading", "matched", "item_windows", "run")).alias("of"))
+        .select("doc_id", "item_id", "of.matched", "of.item_windows", "of.run")
     )

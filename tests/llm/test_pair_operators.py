@@ -202,6 +202,18 @@ def test_inconsistent_slots_are_no_leak(spark):
     assert [r["doc_id"] for r in template_leaks.find_leaks(docs, bench).collect()] == [1]
 
 
+def test_leaks_by_names_that_open_sentences_and_by_case(spark):
+    opening = "Tom buys 4 pens. Tom sells 2 pens. Tom finds 7 pens."
+    inner = "Every day Tom walks to Anna, then Anna calls Peter, and Peter meets Tom again near Paris."
+    other = opening.replace("Tom", "Maria").replace("4", "9").replace("2", "3").replace("7", "5")
+    mixed = other.replace("Maria", "Omar", 1).replace("Maria", "Eva", 1)
+    texts = [other, "before it " + opening.lower() + " and after", mixed, inner.lower(), inner.upper(), "Tom buys pens. Maria sells pens."]
+    docs = spark.createDataFrame([(i, f"Read this. {t}") for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, opening), (2, inner)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in template_leaks.find_leaks(docs, bench).collect()}
+    assert got == {(0, 1), (1, 1), (3, 2), (4, 2)}
+
+
 def test_leaks_of_the_given_tables(spark):
     folder = "/root/testdata/sf0.01"
 
