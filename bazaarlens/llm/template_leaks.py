@@ -13,7 +13,9 @@ inconsistent slots is no leak.
 
 A document leaks an item if consistent windows cover `least_share` of the item's windows, or if
 `least_run` of them agree at one alignment. Windows need `least_words` literal words, so
-that strings of placeholders match nothing; an item without such a window is never found.
+that strings of placeholders match nothing. An item without such a window in any reading, however short, has one
+exact window of all its words, numbers and names literal (EXACT): its verbatim copies are found, but not copies with
+other parameters. Characters of scripts without spaces are words of their own.
 
 Documents are scanned against a bit table of the items' windows, whose size is fixed (2^24 bits),
 and only windows that pass it are joined, exactly, with the items. Items that are equal are represented by
@@ -42,7 +44,9 @@ from bazaarlens.llm.common import mix64, stored, text_steps
 WIDTH = 8
 LEAST_TOKENS = 5
 FILTER_BITS = 24
-TOKEN = re.compile(r"\w+|[.!?:\n]")
+#: Thai, Lao, Burmese, Khmer, kana and Han: scripts without spaces.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+TOKEN = re.compile(rf"[^\W{UNSPACED}]+|[.!?:\n]|[{UNSPACED}]")
 TOKENS_KEPT = 200_000
 NUMBER_WORDS = frozenset(
     "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen "
@@ -63,7 +67,7 @@ FUNCTION_WORDS = frozenset(
     "here let given suppose assume find calculate compute determine write explain name choose".split()
 )
 WORD, NUMBER, UNIT, NAME = 0, 1, 2, 3
-CASELESS, INNER, OPENING = 0, 1, 2
+CASELESS, INNER, OPENING, EXACT = 0, 1, 2, 3
 #: Hashes of the placeholders, by kind.
 HOLDERS = np.array([0, 0x9AE16A3B2F90404F, 0xC949D7C7509E6557, 0xFF51AFD7ED558CCD], np.uint64)
 
@@ -127,6 +131,8 @@ def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 def templates(words, reading: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text number, kind, template hash and value of every place of the texts' templates in a reading."""
     owner, value, flags, starts = words
+    if reading == EXACT:
+        return owner, np.zeros(len(owner), np.uint8), value, value
     kind = np.where(flags == 2, NUMBER, WORD).astype(np.uint8)
     if reading != CASELESS:
         name = flags & 8 > 0
@@ -219,10 +225,13 @@ def item_windows(benchmark: DataFrame, width: int = WIDTH, least_words: int = 4)
     )
     schema = T.StructType([*WINDOW.fields, T.StructField("size", T.LongType())])
 
+    def sized(batch: pa.RecordBatch, size: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, size))], names=schema.names)
+
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in text_steps(batches, "text"):
             words = words_of(texts)
-            literal = None
+            literal, missed = None, np.ones(len(texts), bool)
             for reading in (CASELESS, INNER, OPENING):
                 owner, kind, template, value = templates(words, reading)
                 lengths = np.bincount(owner, minlength=len(texts))
@@ -236,10 +245,15 @@ def item_windows(benchmark: DataFrame, width: int = WIDTH, least_words: int = 4)
                     at, hashes = windows(owner, kind, summed, size, min(least_words, size), reading)
                     some = mine[owner[at]]
                     if some.any():
-                        batch = _rows(rows.column("id"), reading, owner, kind, value, at[some], hashes[some], size)
-                        yield pa.RecordBatch.from_arrays(
-                            [*batch.columns, pa.array(np.full(batch.num_rows, size))], names=schema.names
-                        )
+                        missed[owner[at[some]]] = False
+                        yield sized(_rows(rows.column("id"), reading, owner, kind, value, at[some], hashes[some], size), size)
+            owner, kind, template, value = templates(words, EXACT)
+            lengths = np.bincount(owner, minlength=len(texts))
+            summed = sums(template)
+            for size in np.unique(lengths[missed & (lengths > 0)]).tolist():
+                at, hashes = windows(owner, kind, summed, size, 0, EXACT)
+                some = (missed & (lengths == size))[owner[at]]
+                yield sized(_rows(rows.column("id"), EXACT, owner, kind, value, at[some], hashes[some], size), size)
 
     return items.mapInArrow(cut, schema)
 

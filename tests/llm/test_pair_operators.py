@@ -214,6 +214,15 @@ def test_leaks_by_names_that_open_sentences_and_by_case(spark):
     assert got == {(0, 1), (1, 1), (3, 2), (4, 2)}
 
 
+def test_verbatim_copies_of_items_without_templates(spark):
+    items = ["What is 12 times 7?", "\u5317\u4eac\u662f\u4e2d\u56fd\u7684\u9996\u90fd\u5417", "Yes, 4 of 9", "1 2 3 4 5 6 7 8 9", "Two"]
+    texts = [f"Asked:{t} so it is" for t in items] + ["What is 13 times 7? Yes, 4 of 8", f"\u8bf7\u95ee{items[1]}\u8c22\u8c22"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in template_leaks.find_leaks(docs, bench).collect()}
+    assert got == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (6, 1)}
+
+
 def test_leaks_of_the_given_tables(spark):
     folder = "/root/testdata/sf0.01"
 
