@@ -8,8 +8,8 @@ words inside sentences are (INNER), or those that start a sentence are too, unle
 An item is looked for in CASELESS, and in each other reading that gives it further placeholders; windows meet windows
 of their own reading only, and an item leaks if it does in one reading. Windows of `width`
 places (a shorter item is one window) are hash-joined between documents and benchmark items. At one
-alignment, equal items' values must always meet equal document values: a template that matches with
-inconsistent slots is no leak.
+alignment, equal items' values must always meet equal document values: windows with a slot that has neither the
+item's own value nor the value that the item's meets most often there do not count.
 
 A document leaks an item if consistent windows cover `least_share` of the item's windows, or if
 `least_run` of them agree at one alignment. Windows need `least_words` literal words, so
@@ -22,12 +22,13 @@ and only windows that pass it are joined, exactly, with the items. Items that ar
 the one with the least item_id.
 
 Null texts are empty. Rows whose doc_id or item_id is null cannot be named and are left out of the
-result; repeated rows of a document count as one document.
+result; of the rows of a repeated doc_id each is judged by its own text, and one leak is enough.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import groupby
 from operator import itemgetter
@@ -183,22 +184,26 @@ def windows(owner: np.ndarray, kind: np.ndarray, summed, width: int, least_words
 WINDOW = T.StructType(
     [
         T.StructField("id", T.LongType()),
+        T.StructField("text", T.LongType()),
         T.StructField("reading", T.IntegerType()),
         T.StructField("place", T.LongType()),
         T.StructField("window", T.LongType()),
+        T.StructField("slot", T.LongType()),
         T.StructField("slots", T.ArrayType(T.LongType())),
     ]
 )
 
 
-def _rows(ids: pa.Array, reading: int, owner, kind, value, at, hashes, width: int) -> pa.RecordBatch:
-    """Windows as rows: place in the text, hash, and the values of their slots in order."""
+def _rows(ids: pa.Array, texts: list[str], reading: int, owner, kind, value, at, hashes, width: int) -> pa.RecordBatch:
+    """Windows as rows: hash of the text, place in it, hash, number of the first slot, and the slots' values in order."""
     first = np.r_[0, np.flatnonzero(owner[1:] != owner[:-1]) + 1]
     base = np.zeros(len(ids), np.int64)
     base[owner[first]] = first
     slots = np.flatnonzero(kind != WORD)
     a, b = np.searchsorted(slots, at), np.searchsorted(slots, at + width)
     sizes = b - a
+    mine, which = np.unique(owner[at], return_inverse=True)
+    keys = np.fromiter((xxhash.xxh64_intdigest(texts[i]) for i in mine.tolist()), np.uint64, len(mine))
     inner = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(a, sizes)
     lists = pa.ListArray.from_arrays(
         pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(value[slots[inner]].view(np.int64))
@@ -206,9 +211,11 @@ def _rows(ids: pa.Array, reading: int, owner, kind, value, at, hashes, width: in
     return pa.RecordBatch.from_arrays(
         [
             ids.take(pa.array(owner[at])).cast(pa.int64()),
+            pa.array(keys[which].view(np.int64)),
             pa.array(np.full(len(at), reading, np.int32)),
             pa.array(at - base[owner[at]]),
             pa.array(hashes.view(np.int64)),
+            pa.array(a - np.searchsorted(slots, base[owner[at]])),
             lists,
         ],
         names=WINDOW.names,
@@ -216,7 +223,7 @@ def _rows(ids: pa.Array, reading: int, owner, kind, value, at, hashes, width: in
 
 
 def item_windows(benchmark: DataFrame, width: int = WIDTH, least_words: int = 4) -> DataFrame:
-    """Windows of the distinct items: id, reading, place, window, slots and size (places of a window)."""
+    """Windows of the distinct items: columns of WINDOW, and size (places of a window)."""
     items = (
         benchmark.where(F.col("item_id").isNotNull())
         .select(F.col("item_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -246,18 +253,52 @@ def item_windows(benchmark: DataFrame, width: int = WIDTH, least_words: int = 4)
                     some = mine[owner[at]]
                     if some.any():
                         missed[owner[at[some]]] = False
-                        yield sized(_rows(rows.column("id"), reading, owner, kind, value, at[some], hashes[some], size), size)
+                        yield sized(_rows(rows.column("id"), texts, reading, owner, kind, value, at[some], hashes[some], size), size)
             owner, kind, template, value = templates(words, EXACT)
             lengths = np.bincount(owner, minlength=len(texts))
             summed = sums(template)
             for size in np.unique(lengths[missed & (lengths > 0)]).tolist():
                 at, hashes = windows(owner, kind, summed, size, 0, EXACT)
                 some = (missed & (lengths == size))[owner[at]]
-                yield sized(_rows(rows.column("id"), EXACT, owner, kind, value, at[some], hashes[some], size), size)
+                yield sized(_rows(rows.column("id"), texts, EXACT, owner, kind, value, at[some], hashes[some], size), size)
 
     return items.mapInArrow(cut, schema)
 
 
+ALIGNED = T.StructType(
+    [
+        T.StructField("doc_id", T.LongType()),
+        T.StructField("text", T.LongType()),
+        T.StructField("item_id", T.LongType()),
+        T.StructField("reading", T.IntegerType()),
+        T.StructField("places", T.ArrayType(T.LongType())),
+    ]
+)
+
+
+def agreeing(found: list[dict]) -> list[int]:
+    """Places of the windows of one alignment whose slots all agree."""
+    # windows overlap: each slot is counted once
+    met = {(w["item_slot"] + k, a, b) for w in found for k, (a, b) in enumerate(zip(w["item_slots"], w["slots"]))}
+    times = Counter((a, b) for _, a, b in met)
+    most: dict[int, tuple] = {}
+    for (a, b), n in times.items():
+        most[a] = max(most.get(a, (0, False, 0)), (n, a == b, b))
+    return [
+        w["item_place"] for w in found if all(a == b or most[a][2] == b for a, b in zip(w["item_slots"], w["slots"]))
+    ]
+
+
+def _agreeing(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ALIGNED.names[:-1]
+    # few alignments at once: as Python objects their windows are large
+    for rows in (batch.slice(at, 256) for batch in batches for at in range(0, batch.num_rows, 256)):
+        places = [agreeing(found) for found in rows.column("found").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [*(rows.column(c) for c in names), pa.array(places, pa.list_(pa.int64()))], names=ALIGNED.names
+        )
+
+
 def find_leaks(
     documents: DataFrame,
     benchmark: DataFrame,
@@ -269,7 +310,7 @@ def find_leaks(
     """(doc_id, item_id, matched, item_windows, run): one row for each document that leaks an item.
 
     matched: distinct windows of the item at consistent alignments, run: most at one alignment; both
-    are of the first reading in which the document leaks the item.
+    are of the first reading in which a row of the document leaks the item, and of its row that matches most.
     """
     items = stored(item_windows(benchmark, width, least_words), "item-windows")
     word = F.shiftright(F.col("window").bitwiseAND((1 << FILTER_BITS) - 1), 6)
@@ -294,7 +335,7 @@ def find_leaks(
                     seen = (table[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1)
                     some = np.flatnonzero(seen)
                     if len(some):
-                        yield _rows(rows.column("__id"), reading, owner, kind, value, at[some], hashes[some], size)
+                        yield _rows(rows.column("__id"), texts, reading, owner, kind, value, at[some], hashes[some], size)
 
     passed = (
         documents.where(F.col("doc_id").isNotNull())
@@ -302,27 +343,28 @@ def find_leaks(
         .mapInArrow(scan, WINDOW)
     )
     mine = items.select(
-        "window", F.col("id").alias("item_id"), F.col("place").alias("item_place"), F.col("slots").alias("item_slots")
+        "window",
+        F.col("id").alias("item_id"),
+        F.col("place").alias("item_place"),
+        F.col("slot").alias("item_slot"),
+        F.col("slots").alias("item_slots"),
     )
     hits = passed.join(mine, "window").where(F.size("slots") == F.size("item_slots"))
-    # an alignment holds at most one row for each window of the item and repeated row of the document
+    # an alignment holds at most one row for each window of the item
     aligned = (
-        hits.groupBy(F.col("id").alias("doc_id"), "item_id", "reading", (F.col("place") - F.col("item_place")).alias("shift"))
-        .agg(
-            F.collect_set("item_place").alias("places"),
-            F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots")))).alias("pairs"),
-        )
-        .where(F.size(F.array_distinct(F.col("pairs.item_slots"))) == F.size("pairs"))
+        hits.groupBy(F.col("id").alias("doc_id"), "text", "item_id", "reading", (F.col("place") - F.col("item_place")).alias("shift"))
+        .agg(F.collect_set(F.struct("item_place", "item_slot", "item_slots", "slots")).alias("found"))
+        .mapInArrow(_agreeing, ALIGNED)
     )
     totals = items.groupBy(F.col("id").alias("item_id"), "reading").agg(F.count(F.lit(1)).alias("item_windows"))
     return (
         aligned.withColumn("run", F.size("places"))
         .withColumn("place", F.explode("places"))
-        .groupBy("doc_id", "item_id", "reading")
+        .groupBy("doc_id", "text", "item_id", "reading")
         .agg(F.countDistinct("place").alias("matched"), F.max("run").cast("long").alias("run"))
         .join(totals, ["item_id", "reading"])
         .where((F.col("matched") >= least_share * F.col("item_windows")) | (F.col("run") >= least_run))
         .groupBy("doc_id", "item_id")
-        .agg(F.min(F.struct("reading", "matched", "item_windows", "run")).alias("of"))
+        .agg(F.min(F.struct("reading", -F.col("matched"), "item_windows", -F.col("run"), "matched", "run")).alias("of"))
         .select("doc_id", "item_id", "of.matched", "of.item_windows", "of.run")
     )

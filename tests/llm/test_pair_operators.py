@@ -223,6 +223,20 @@ def test_verbatim_copies_of_items_without_templates(spark):
     assert got == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (6, 1)}
 
 
+def test_edited_slots_and_repeated_rows_keep_other_windows(spark):
+    item = (
+        "A farmer named Anna keeps 12 brown hens in one yard and sells the eggs of her 12 hens to the baker, who pays 3 coins for each "
+        "of them and gives Anna a loaf of bread when the week is over and all the baskets are empty again"
+    )
+    work = "if 5 workers need 9 days then 5 workers build 9 walls and 5 workers build 9 more walls in 9 days"
+    first, second = work.replace("5", "8").replace("9", "4"), work.replace("5", "6").replace("9", "3")
+    rows = [(1, item.replace("her 12 hens", "her 14 hens")), (2, first), (2, second), (3, first)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, work)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in template_leaks.find_leaks(docs, bench).collect()}
+    assert got == {(1, 1), (2, 2), (3, 2)}
+
+
 def test_leaks_of_the_given_tables(spark):
     folder = "/root/testdata/sf0.01"
 
