@@ -2,7 +2,9 @@
 
 Each page scores its containers by the running text of their blocks; Spark counts, per host, how often
 each generalised tag-class path wins; every page is then extracted again with the winning paths of
-its host, or with its own best container where none of those occurs in it.
+its host, or with its own best container where none of those occurs in it, or whole where no container has running
+text. A container without the title (h1) is widened by what stands around it, up to the nearest heading: by the whole
+of an ancestor that has one of its own, but of the body only by its own headings, paragraphs and lists.
 
 A path is a hash of the tags and classes from the root, with digits generalised, so numbered classes
 agree. Menus, headers of the page, footers, sidebars, notices, adverts, forms, scripts, styles and reader
@@ -64,6 +66,7 @@ SIBLINGS = {
     "option": ("option",),
 }
 SCOPE = frozenset("ul ol dl table div article section main body td th aside form nav header footer blockquote".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BONUS = {"article": 1.5, "main": 1.3}
 DECAY = 0.7
 LEVELS = 4
@@ -237,29 +240,89 @@ class Page:
             while self.tag[at] in LEAF and self.parent[at] >= 0:
                 at = self.parent[at]
             for _ in range(LEVELS):
-                if at <= 0 or self.tag[at] in ("html",):
+                if at < 0:
                     break
                 out[self.path[at]] = out.get(self.path[at], 0) + value * BONUS.get(self.tag[at], 1.0)
                 value *= DECAY
                 at = self.parent[at]
-                while self.tag[at] in INLINE:
+                while at > 0 and self.tag[at] in INLINE:
                     at = self.parent[at]
         return out
 
+    def holds(self, path: int) -> bool:
+        """Whether text stands inside elements of a path; inside the root or html, right under it."""
+        inside = [False] * len(self.parent)
+        for at in range(1, len(self.parent)):
+            inside[at] = inside[self.parent[at]] or self.path[at] == path and self.tag[at] != "html"
+        for _, _, at in self.blocks:
+            if inside[at]:
+                return True
+            while self.tag[at] in LEAF and self.parent[at] >= 0:
+                at = self.parent[at]
+            if self.path[at] == path:
+                return True
+        return False
+
     def best(self) -> int | None:
         """Path with the largest score; the smaller number on a tie. None without running text."""
         found = [(-s, p) for p, s in self.scores().items() if s > 0]
         return min(found)[1] if found else None
 
     def text(self, path: int | None) -> str:
-        """Blocks inside elements of a path, in page order."""
-        if path is None:
-            return ""
-        inside = [False] * len(self.parent)
-        for at in range(1, len(self.parent)):
-            inside[at] = inside[self.parent[at]] or self.path[at] == path
+        """Blocks inside elements of a path, widened, in page order; all blocks without a path."""
+        inside = [path is None or self.path[0] == path] * len(self.parent)
+        if not inside[0]:
+            tops = []
+            for at in range(1, len(self.parent)):
+                above = inside[self.parent[at]]
+                inside[at] = above or self.path[at] == path
+                if inside[at] and not above:
+                    tops.append(at)
+            if not any(inside[at] and self.tag[at] == "h1" for _, _, at in self.blocks):
+                around = self._around(tops, inside)
+                return "\n".join(b[0] for k, b in enumerate(self.blocks) if inside[b[2]] or k in around)
         return "\n".join(text for text, _, at in self.blocks if inside[at])
 
+    def _around(self, tops: list[int], inside: list[bool]) -> set[int]:
+        """Numbers of the blocks that belong to the article around the elements `tops`."""
+        above = set()
+        for at in tops:
+            while at >= 0 and at not in above:
+                above.add(at)
+                at = self.parent[at]
+        above.difference_update(tops)
+        # units: what stands beside the way from the root to the elements
+        unit_of = list(range(len(self.parent)))
+        for at in range(1, len(self.parent)):
+            if at not in above and self.parent[at] not in above:
+                unit_of[at] = unit_of[self.parent[at]]
+        units: dict[int, dict[int, list[int]]] = {}
+        for k, (_, _, at) in enumerate(self.blocks):
+            if not inside[at]:
+                unit = unit_of[at]
+                units.setdefault(unit if unit in above else self.parent[unit], {}).setdefault(unit, []).append(k)
+        out: set[int] = set()
+        done = set()
+        for at in tops:
+            at = self.parent[at]
+            while at >= 0 and at not in done:
+                done.add(at)
+                near, titled = [], False
+                for unit, blocks in units.get(at, {}).items():
+                    if 2 * sum(self.blocks[k][1] for k in blocks) > sum(len(self.blocks[k][0]) for k in blocks):
+                        continue
+                    title = self.tag[unit] in HEADINGS or any(self.tag[self.blocks[k][2]] == "h1" for k in blocks)
+                    titled |= title
+                    near.append((title or unit != at and self.tag[unit] in LEAF, blocks))
+                page = self.tag[at] in ("", "html", "body")
+                whole = not page and (titled or self.tag[at] in BONUS)
+                if titled or not page:
+                    out.update(k for leaf, blocks in near if leaf or whole for k in blocks)
+                if titled:
+                    break
+                at = self.parent[at]
+        return out
+
 
 def host_of(url) -> F.Column:
     return F.nullif(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
@@ -317,7 +380,7 @@ def extract_main_text(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url
             for source, paths in zip(texts, rows.column("paths").to_pylist()):
                 page = Page(source)
                 there = set(page.path)
-                path = next((p for p in paths or () if p in there and page.text(p)), None)
+                path = next((p for p in paths or () if p in there and page.holds(p)), None)
                 path = page.best() if path is None else path
                 out.append(page.text(path))
                 used.append(path)

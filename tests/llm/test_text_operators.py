@@ -187,6 +187,24 @@ def test_consensus_overrules_a_page(spark):
     assert got[9] == "short real text"
 
 
+def test_titles_roots_and_link_pages_keep_their_text(spark):
+    long = "running text of the article, with commas, " * 9
+    post = "<body><p>Site name<div class=post><h1>Title</h1><p class=lead>Lead</p><div class=body><p>{0}</div></div><div class=x><p>other</div>"
+    deep = "<body><article><div class=top><h1>Title</h1></div><div class=a><p>Lead</p><div class=b><p>{0}</div></div></article>"
+    plain = "<body><h1>Title</h1><div class=main><p>{0}</div><div class=more><p>other</div>"
+    links = "<ul><li><a href=/a>First place</a><li><a href=/b>Second place</a></ul>"
+    pages = [post, deep, plain, "<p>only this", "<html><h1>Title</h1><p>{0}", f"<body><div>{links}</div>"]
+    rows = [(i, f"https://h{i}.example/", p.format(long)) for i, p in enumerate(pages)]
+    # one host: pages without a body do not decide for others
+    rows += [(10 + i, "https://one.example/", "<p>" + long) for i in range(3)] + [(13, "https://one.example/", plain.format(long))]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in page_consensus.extract_main_text(frame).collect()}
+    text = long.strip()
+    assert got[0] == got[1] == f"Title\nLead\n{text}"
+    assert got[2] == got[4] == got[13] == f"Title\n{text}"
+    assert got[3] == "only this" and got[5] == "First place\nSecond place" and got[10] == text
+
+
 def test_pages_of_the_given_table(spark):
     import html
 
