@@ -100,7 +100,7 @@ def comparison_text(c: Column | str) -> Column:
 alias_norm = comparison_text
 
 
-def clean_text_list(values: Column | str, min_length: int = 2, limit: int | None = 32) -> Column:
+def clean_text_list(values: Column | str, min_length: int = 2, limit: int | None = None) -> Column:
     """Trim, drop short items, keep the first of items that differ only in case."""
     items = F.transform(F.coalesce(col(values), F.array().cast("array<string>")), squeeze)
     items = F.filter(items, lambda v: F.length(v) >= min_length)

@@ -203,10 +203,10 @@ def join_url(base: Column, link: Column) -> Column:
 # Cards -------------------------------------------------------------------------------------------
 
 
-def listing_cards(pages: DataFrame, source: Column, max_items: int = 100) -> DataFrame:
+def listing_cards(pages: DataFrame, source: Column, max_items: int | None = None) -> DataFrame:
     """Listings of each page: JSON-LD first, then cards that pass the quality gate.
 
-    Equal fingerprints keep the first; ``max_items`` is the per-page limit of a crawl.
+    Equal fingerprints keep the first; ``max_items`` is the per-page limit of a crawl (the reference: 100), none by default.
     """
     links = anchors(pages).where("href NOT LIKE '#%' AND lower(href) NOT LIKE 'javascript:%'")
     cards = links.withColumns(
@@ -237,15 +237,10 @@ def listing_cards(pages: DataFrame, source: Column, max_items: int = 100) -> Dat
     )
     first = W.partitionBy("page_id", "fingerprint").orderBy("position")
     order = W.partitionBy("page_id").orderBy("position")
-    return (
-        rows.withColumn("_r", F.row_number().over(first))
-        .where(F.col("_r") <= 1)
-        .withColumn("_n", F.row_number().over(order))
-        .where(F.col("_n") <= max_items)
-        .drop("_r", "_n")
-        .withColumn("specs", extract_specs("spec_text"))
-        .drop("spec_text")
-    )
+    unique = rows.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= 1).drop("_r")
+    if max_items is not None:
+        unique = unique.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max_items).drop("_n")
+    return unique.withColumn("specs", extract_specs("spec_text")).drop("spec_text")
 
 
 # Links -------------------------------------------------------------------------------------------
@@ -293,8 +288,11 @@ def looks_like_category(url: Column, label: Column, parent: Column) -> Column:
     return ~noise & (matches(url, rules.CATEGORY_URL) | matches(joined, rules.CATEGORY_WORDS))
 
 
-def category_links(pages: DataFrame, source: Column, max_links: int = 250, profile: str = "tech") -> DataFrame:
-    """Same-site links that look like categories, first per url, with their interest score."""
+def category_links(pages: DataFrame, source: Column, max_links: int | None = None, profile: str = "tech") -> DataFrame:
+    """Same-site links that look like categories, first per url, with their interest score.
+
+    ``max_links`` is the per-page limit of a crawl (the reference: 250), none by default.
+    """
     links = anchors(pages).where("href NOT RLIKE '^(mailto:|tel:|javascript:|#)'").withColumn(
         "url", normalize_category_url("url")
     )
@@ -304,13 +302,9 @@ def category_links(pages: DataFrame, source: Column, max_links: int = 250, profi
     good = own.where(looks_like_category(F.col("url"), F.col("label"), F.substring("parent", 1, 220)))
     first = W.partitionBy("page_id", "url").orderBy("position")
     order = W.partitionBy("page_id").orderBy("position")
-    kept = (
-        good.withColumn("_r", F.row_number().over(first))
-        .where(F.col("_r") <= 1)
-        .withColumn("_n", F.row_number().over(order))
-        .where(F.col("_n") <= max_links)
-        .withColumn("source", source)
-    )
+    kept = good.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= 1).withColumn("source", source)
+    if max_links is not None:
+        kept = kept.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max_links)
     return kept.select(
         "page_id", "source", "label", "url", F.col("base_url").alias("parent_url"), "position",
         category_interest(F.col("source"), F.col("label"), F.col("url"), F.col("label"), profile).alias("interest"),
@@ -364,20 +358,21 @@ def pagination_links(pages: DataFrame, max_pages: int = 0) -> DataFrame:
 
 
 def discover_categories(
-    links: DataFrame, roots: DataFrame, max_depth: int = 0, max_categories: int = 0, level_limit: int = 64
+    links: DataFrame, roots: DataFrame, max_depth: int = 0, max_categories: int = 0, level_limit: int | None = None
 ) -> DataFrame:
     """Breadth-first walk of site links from the roots, each url once, with path and depth.
 
     ``links``: source, parent_url, label, url. ``roots``: source, url. One level per step: the
     frontier joins the links, urls seen before drop out by anti join, and each level is
-    checkpointed. ``level_limit`` stops a walk without a depth bound.
+    checkpointed. It ends where a level finds nothing new; ``level_limit`` stops a walk without a
+    depth bound before.
     """
     seen = cut_lineage(roots.select("source", "url").distinct())
     frontier = seen.select("source", "url", F.lit("").alias("path"))
     levels: list[DataFrame] = []
     total, depth = 0, 0
     bound = max_depth if max_depth > 0 else level_limit
-    while depth < bound:
+    while bound is None or depth < bound:
         depth += 1
         parents = frontier.select("source", F.col("url").alias("parent_url"), F.col("path").alias("parent_path"))
         fresh = links.join(parents, ["source", "parent_url"]).join(seen, ["source", "url"], "left_anti")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from bazaarlens.functions.core import non_empty, text
 from bazaarlens.functions.urls import absolute_url, platform_listing_key
 from bazaarlens.operators.deals import first_per_key
+from bazaarlens.session import cut_lineage
 
 # Fixed value: price of an item whose payload has none.
 NO_PRICE = 999.0
@@ -130,16 +131,16 @@ def normalize_payloads(payloads: DataFrame) -> DataFrame:
     return first_per_key(every, ["response_id", "id"], ["position"])
 
 
-# Where a page keeps its item list, and how deep the fallback looks.
+# Fixed value: where a page keeps its item list.
 ITEM_LIST_PATH = "$.props.pageProps.initialState.items.list"
-MAX_DEPTH = 8
 STATE_PATTERN = r'(?is)<script[^>]*id="__NEXT_DATA__"[^>]*>(.*?)</script>'
 
 
 def embedded_items(pages: DataFrame) -> DataFrame:
     """Item objects of each page's state: the known list, else every object that looks like an item.
 
-    The fallback opens one level of the JSON per step, each step an explode of the level before.
+    The fallback opens one level of the JSON per step, each step an explode of the level before, until
+    a level is empty. Levels are checkpointed, so each is opened once.
     """
     state = pages.select("page_id", "url", F.regexp_extract("html", STATE_PATTERN, 1).alias("state")).where("state <> ''")
     listed = state.select(
@@ -157,17 +158,18 @@ def embedded_items(pages: DataFrame) -> DataFrame:
     rest = state.join(listed.select("page_id").distinct(), "page_id", "left_anti")
     level = rest.select("page_id", F.col("state").alias("node"), F.lit("").alias("place"))
     found = []
-    for _ in range(MAX_DEPTH):
+    while not found or not level.isEmpty():
         has = lambda *keys: F.arrays_overlap(F.json_object_keys("node"), F.array(*[F.lit(k) for k in keys]))
         looks = has("subject", "title") & has("urls", "url", "link") & has("features", "price", "priceValue")
         found.append(level.where(looks).select("page_id", "place", F.col("node").alias("raw_json")))
         as_list = F.when(F.col("node").startswith("["), F.from_json("node", "array<string>"))
         as_map = F.map_values(F.when(F.col("node").startswith("{"), F.from_json("node", "map<string,string>")))
-        level = level.select(
+        inner = level.select(
             "page_id", "place", F.posexplode(F.coalesce(as_list, as_map)).alias("n", "child")
         ).where("child LIKE '{%' OR child LIKE '[%'").select(
             "page_id", F.col("child").alias("node"), F.concat("place", F.lpad(F.col("n").cast("string"), 6, "0")).alias("place")
         )
+        level = cut_lineage(inner)
     fallback = reduce(DataFrame.unionByName, found).select("page_id", "place", "raw_json")
     known = listed.select("page_id", F.lpad(F.col("position").cast("string"), 6, "0").alias("place"), "raw_json")
     return known.unionByName(fallback)

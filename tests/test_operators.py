@@ -213,6 +213,28 @@ def test_walk_of_links_with_a_cycle(spark):
     assert got == {"a": (1, "A"), "b": (2, "A > B"), "c": (3, "A > B > C")}
 
 
+def test_page_operators_drop_nothing_by_default(spark):
+    from bazaarlens.functions.text import clean_text_list
+    from bazaarlens.sources import payloads
+
+    products = ",".join(f'{{"@type":"Product","name":"Camera X{i} body","url":"/p/{i}","offers":{{"price":"{i + 1}"}}}}' for i in range(120))
+    links = "".join(f'<a href="/c/laptop-{i}">Laptop {i}</a>' for i in range(300))
+    item = '{"a":' * 12 + '{"subject":"deep","url":"/a","price":1}' + "}" * 12
+    html = f'<script type="application/ld+json">[{products}]</script>{links}'
+    state = f'<script id="__NEXT_DATA__" type="application/json">{item}</script>'
+    rows = [(1, "https://shop.example.it/", html), (2, "https://shop.example.it/", state)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    cards = pages.listing_cards(frame, F.lit("s"))
+    assert cards.where("reason = 'jsonld'").count() == 120 and pages.listing_cards(frame, F.lit("s"), 100).count() == 100
+    assert pages.category_links(frame, F.lit("s")).count() == 300 and pages.category_links(frame, F.lit("s"), 250).count() == 250
+    assert [r["page_id"] for r in payloads.embedded_items(frame).collect()] == [2]
+    walk = spark.createDataFrame([("s", f"u{i}", "L", f"u{i + 1}") for i in range(3)], "source string, parent_url string, label string, url string")
+    roots = spark.createDataFrame([("s", "u0")], "source string, url string")
+    assert pages.discover_categories(walk, roots).count() == 3 and pages.discover_categories(walk, roots, level_limit=2).count() == 2
+    words = spark.range(1).select(clean_text_list(F.array(*[F.lit(f"word {i}") for i in range(40)])).alias("w"))
+    assert len(words.first()["w"]) == 40
+
+
 def test_card_text_of_nested_markup(spark):
     html = "<ul><li><a href='/item/1'>Buy</a><span>Pixel 8 come nuovo</span> <b>250 €</b></li></ul>" + "<p>x</p>" * 3
     page = spark.createDataFrame([(1, "https://a.it/list", html)], "page_id long, url string, html string")
