@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bazaarlens.llm.byte_tree import encode_bytes
 from bazaarlens.llm.grid_order import near_duplicates
 from bazaarlens.llm.language_bloom import fit_languages, identify_language
 from bazaarlens.llm.page_consensus import extract_main_text
@@ -15,6 +16,8 @@ from bazaarlens.llm.template_leaks import find_leaks
 from bazaarlens.llm.token_groups import jaccard_components
 from bazaarlens.llm.tool_calls import format_tool_calls
 from bazaarlens.llm.toxicity import fit_toxicity, is_held_out, score_toxicity
+from bazaarlens.llm.turn_repair import repair_turns, summarise
+from bazaarlens.llm.word_runs import word_runs
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +31,13 @@ def piece_model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def byte_model_path() -> str:
+    """Place of the public byte-level vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Linked calls and results of every conversation, validated, as canonical JSON; -1: no such turn."""
     found = format_tool_calls(table(spark, sf_dir, "conversations"))
@@ -148,6 +158,93 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def with_periods(documents: DataFrame) -> DataFrame:
+    """doc_id and text, where the text of one id in ten repeats a block of its words to its end.
+
+    h = crc32(doc_id), g = h div 10: with h % 10 = 0, word i >= a becomes word a + (i - a) % p, where
+    a = g % n and p = 1 + (n - a) div (3 + g % 8). Rows without doc_id or words stay as they are.
+    """
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    h = F.crc32(F.col("doc_id").cast("string"))
+    rows = documents.select("doc_id", "text", h.alias("h")).withColumn("words", F.when(F.col("h") % 10 == 0, words))
+    n = F.size("words").cast("long")
+    g = F.expr("h div 10")
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    block = F.slice("words", (a + 1).cast("int"), p.cast("int"))
+    times = F.ceil((n - a) / p).cast("int")
+    whole = F.concat(F.slice("words", F.lit(1), a.cast("int")), F.flatten(F.array_repeat(block, times)))
+    periodic = F.array_join(F.slice(whole, F.lit(1), n.cast("int")), " ")
+    return rows.select("doc_id", F.when((F.col("h") % 10 == 0) & (n > 0), periodic).otherwise(F.col("text")).alias("text"))
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words of every document: their number, the one with the greatest exponent, and digests."""
+    found = word_runs(with_periods(table(spark, sf_dir, "documents")))
+    none = F.lit(None).cast("struct<start:long,length:long,period:long>")
+
+    def greater(best, x):
+        more = x["length"] * best["period"] > best["length"] * x["period"]
+        return F.when(best.isNull() | more, x).otherwise(best)
+
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", F.reduce("runs", none, greater)).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the byte-level ids and of the decoded text of every document."""
+    return encode_bytes(table(spark, sf_dir, "documents"), byte_model_path()).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations with one fault in five of twenty rows, by crc32 of conv_id:turn; nulls are one space there."""
+    space = F.lit(" ")
+    key = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), space) for c in ("conv_id", "turn")))
+    rows = conversations.select(
+        "conv_id", "turn", F.coalesce("role", space).alias("role"), F.coalesce("text", space).alias("text"),
+        (F.crc32(key) % 20).alias("kind"),
+    )
+    return rows.where("kind <> 0").select(
+        "conv_id",
+        "turn",
+        F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("kind") == 1, "")
+        .when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", ""))
+        .otherwise(F.col("text"))
+        .alias("text"),
+        F.when(F.col("kind") == 3, 2).otherwise(1).alias("copies"),
+    )
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, least repair cost, audit and digest of the repaired turns of every damaged conversation."""
+    conversations = table(spark, sf_dir, "conversations")
+    found = summarise(repair_turns(damaged(conversations), copies="copies")).withColumnRenamed("conv_id", "found_id")
+    every = conversations.select("conv_id").distinct()
+    joined = every.join(found, F.col("conv_id").eqNullSafe(F.col("found_id")), "left")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return joined.select(
+        "conv_id",
+        *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
 QUERIES = {
     "op1_chat": op1_chat,
     "op2_toxicity": op2_toxicity,
@@ -159,6 +256,9 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_embeddings": op9_embeddings,
     "op10_jaccard": op10_jaccard,
+    "op11_runs": op11_runs,
+    "op12_bytes": op12_bytes,
+    "op13_conversations": op13_conversations,
 }
 
 ORACLES: dict[str, str] = {"op1_chat": OP1_SQL}
