@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from bazaarlens.plans.fixtures import TABLES, VIEWS
 
+SPREAD_SETTING = "bazaarlens.input.partitions"
 SPREAD = ("lineitem", "orders", "documents", "events", "pages", "conversations")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,15 +32,12 @@ class Inputs:
                 self._built[name] = self.spark.sql(sql, **{n: self(n) for n in needs})
         return self._built[name]
 
-
     def _table(self, name: str) -> DataFrame:
-        """The table as read. A table in fewer pieces than there are cores is spread over them, as
-        one small file would otherwise be one task; large data is left as its files split."""
+        """The table as read. Where the session says so (a local one over single small files does),
+        its rows are dealt out again, whatever the size of the table."""
         df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        cores = self.spark.sparkContext.defaultParallelism
-        if name in SPREAD and df.rdd.getNumPartitions() < cores:
-            return df.repartition(cores)
-        return df
+        spread = int(self.spark.conf.get(SPREAD_SETTING, "0"))
+        return df.repartition(spread) if spread and name in SPREAD else df
 
 
 def with_views(names: list[str], body: str) -> str:

@@ -1,4 +1,4 @@
-"""Registered queries against their SQL. BAZAARLENS_ALL=1 adds the slow ones."""
+"""Registered queries against their SQL."""
 
 import os
 
@@ -8,8 +8,7 @@ from check import compare, connect
 from bazaarlens.plans import ORACLES, QUERIES
 
 FOLDER = os.environ.get("BAZAARLENS_SF", "/root/testdata/sf0.001")
-SLOW = {"resolve_batch", "resolver_candidates"}
-NAMES = [n for n in ORACLES if os.environ.get("BAZAARLENS_ALL") or n not in SLOW]
+NAMES = list(ORACLES)
 
 
 @pytest.fixture(scope="module")
