@@ -58,19 +58,23 @@ def matched_terms(normalized: Column, terms: list[str], kit_terms: bool = True)
     )
 
 
-def quantity_for_term(normalized: Column, term: str, unit_aliases: list[str]) -> Column:
-    """Units offered, as 2x32gb, 32gb x2 or 4 chairs; null when the text names no quantity."""
+def quantity_patterns(term: str, unit_aliases: list[str]) -> list[str]:
+    """Patterns that name a quantity of units, as 2x32gb, 32gb x2 or 4 chairs, in the order they count."""
     found = []
     for word in [term, *unit_aliases]:
         parts = [quoted(p) for p in plain_term(word).split() if p]
         if not parts:
             continue
         body = r"\s*".join(parts)
-        for pattern in (
+        found += [
             rf"(?<![a-z0-9])(\d{{1,3}})\s*[x×]\s*{body}(?![a-z0-9])",
             rf"(?<![a-z0-9]){body}\s*[x×]\s*(\d{{1,3}})(?![a-z0-9])",
             rf"(?<![a-z0-9])(\d{{1,3}})\s+{body}(?![a-z0-9])",
-        ):
-            number = find_first(normalized, pattern, 1).cast("int")
-            found.append(F.when(number > 0, number))
-    return F.coalesce(*found)
+        ]
+    return found
+
+
+def quantity_for_term(normalized: Column, term: str, unit_aliases: list[str]) -> Column:
+    """Units offered; null when the text names no quantity."""
+    numbers = [find_first(normalized, p, 1).cast("int") for p in quantity_patterns(term, unit_aliases)]
+    return F.coalesce(*(F.when(n > 0, n) for n in numbers))

@@ -35,7 +35,7 @@ def full_text(df: DataFrame) -> DataFrame:
     return df.withColumns({"_full": normalize_text(both), "_title": normalize_text("title")})
 
 
-def _item(step: str, status, reason: Column, delta: Column | int = 0, confidence: float | None = None) -> Column:
+def evidence_item(step: str, status, reason: Column, delta: Column | int = 0, confidence: float | None = None) -> Column:
     return F.struct(
         F.lit(step).alias("step"),
         (F.lit(status) if isinstance(status, str) else status).alias("status"),
@@ -79,12 +79,12 @@ def apply_rules(df: DataFrame, config: RuleConfig) -> DataFrame:
     reason = F.col("rule_reject")
     evidence = F.array_compact(
         F.array(
-            *[F.when(F.size(n) > 0, _item("rules", "MATCH", _listed("Gruppo richiesto OK", hits(n)))) for n in groups],
+            *[F.when(F.size(n) > 0, evidence_item("rules", "MATCH", _listed("Gruppo richiesto OK", hits(n)))) for n in groups],
             F.when(
                 F.size("_distract") > 0,
-                _item("rules", "DISTRACTOR", _listed("Distrattori da verificare con AI", hits("_distract"))),
+                evidence_item("rules", "DISTRACTOR", _listed("Distrattori da verificare con AI", hits("_distract"))),
             ),
-            _item("rules", F.when(reason.isNull(), "ACCEPT").otherwise("REJECT"), F.coalesce(reason, F.lit("Regole base OK"))),
+            evidence_item("rules", F.when(reason.isNull(), "ACCEPT").otherwise("REJECT"), F.coalesce(reason, F.lit("Regole base OK"))),
         )
     )
     return decided.withColumn("rule_evidence", evidence)
@@ -159,8 +159,12 @@ def deal_score(title: Column, price: Column, budget: Column, config: RuleConfig)
         score = score + F.when(title.contains(plain_term(word)), int(bonus)).otherwise(0)
     for word in config.negative_keywords:
         score = score - F.when(title.contains(plain_term(word)), NEGATIVE_MALUS).otherwise(0)
+    return F.greatest(F.lit(0), F.least(F.lit(100), score + price_points(price, budget)))
+
+
+def price_points(price: Column, budget: Column) -> Column:
     ratio = price / budget
-    priced = (
+    return (
         F.when(budget <= 0, 0)
         .when(ratio <= 0.5, 10)
         .when(ratio <= 0.7, 5)
@@ -168,10 +172,9 @@ def deal_score(title: Column, price: Column, budget: Column, config: RuleConfig)
         .when(ratio >= 1.0, -15)
         .otherwise(0)
     )
-    return F.greatest(F.lit(0), F.least(F.lit(100), score + priced))
 
 
-def _with_verdicts(df: DataFrame, verdicts: DataFrame | None) -> DataFrame:
+def with_verdicts(df: DataFrame, verdicts: DataFrame | None) -> DataFrame:
     """Verdict columns, all null where there is no verdict table or row."""
     if verdicts is None:
         return df.withColumns({c: F.lit(None).cast(t) for c, t in VERDICT_COLUMNS.items()})
@@ -181,6 +184,30 @@ def _with_verdicts(df: DataFrame, verdicts: DataFrame | None) -> DataFrame:
     return joined.withColumns(lacking) if lacking else joined
 
 
+def with_seen(rows: DataFrame, seen: DataFrame | None) -> DataFrame:
+    """Add _seen: whether the id is in the optional table of seen ids."""
+    if seen is None:
+        return rows.withColumn("_seen", F.lit(False))
+    flags = seen.select("listing_id").distinct().withColumn("_seen", F.lit(True))
+    return rows.join(flags, "listing_id", "left").withColumn("_seen", F.coalesce("_seen", F.lit(False)))
+
+
+def chosen_config(pattern: Column) -> Column:
+    """The configuration a context verdict names, else the matched pattern."""
+    named = F.when(F.coalesce("_context", F.lit(False)), F.nullif("context_config", F.lit("")))
+    return F.when(named.isNotNull() & (named != "standard"), named).when(pattern == REJECTED, "standard").otherwise(pattern)
+
+
+def chosen_price() -> Column:
+    used = F.coalesce("_context", F.lit(False)) & (F.col("context_price") != 0)
+    return F.when(used, F.col("context_price")).otherwise(F.col("price"))
+
+
+def shown_image() -> Column:
+    """The image verdict of offers that show one."""
+    return F.when(F.coalesce("image_url", F.lit("")) != "", F.col("image_ok"))
+
+
 def decide_listings(
     df: DataFrame, config: RuleConfig, verdicts: DataFrame | None = None, seen: DataFrame | None = None
 ) -> DataFrame:
@@ -189,34 +216,29 @@ def decide_listings(
     Verdicts and seen ids are optional tables keyed by listing_id. Everything else is computed in
     place, so the only shuffles are those two joins.
     """
-    rows = full_text(_with_verdicts(df, verdicts))
-    if seen is None:
-        rows = rows.withColumn("_seen", F.lit(False))
-    else:
-        flags = seen.select("listing_id").distinct().withColumn("_seen", F.lit(True))
-        rows = rows.join(flags, "listing_id", "left").withColumn("_seen", F.coalesce("_seen", F.lit(False)))
-    context = F.col("context_ok") if config.context_check else F.lit(None).cast("boolean")
-    used = context.isNotNull() & context
-    rows = unit_budget(apply_rules(rule_hits(rows, config), config), config).withColumns(
+    none = F.lit(None).cast("boolean")
+    rows = with_seen(full_text(with_verdicts(df, verdicts)), seen).withColumns(
         {
-            "_pattern": reject_or_variant(F.col("_full"), config),
-            "_price": F.when(used & (F.col("context_price") != 0), F.col("context_price")).otherwise(F.col("price")),
+            "_rules": F.lit(config.name),
+            "_context": F.col("context_ok") if config.context_check else none,
+            "_image": shown_image() if config.image_check else none,
         }
     )
-    named = F.when(used, F.nullif("context_config", F.lit("")))
-    rows = rows.withColumn(
-        "_config",
-        F.when(named.isNotNull() & (named != "standard"), named)
-        .when(F.col("_pattern") == REJECTED, "standard")
-        .otherwise(F.col("_pattern")),
+    rows = unit_budget(apply_rules(rule_hits(rows, config), config), config).withColumns(
+        {"_pattern": reject_or_variant(F.col("_full"), config), "_price": chosen_price()}
     )
+    rows = rows.withColumn("_config", chosen_config(F.col("_pattern")))
     rows = rows.withColumn(
         "_budget", F.coalesce(F.col("unit_total"), named_budget(F.col("_config"), config.budget))
     )
     rows = rows.withColumn("_score", deal_score(F.col("_title"), F.col("_price"), F.col("_budget"), config))
-    image = F.lit(None).cast("boolean")
-    if config.image_check:
-        image = F.when(F.coalesce("image_url", F.lit("")) != "", F.col("image_ok"))
+    return outcome(rows, df.columns)
+
+
+def outcome(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The decision and its trail, from what the rules found: _seen, rule_reject, rule_evidence,
+    _context, _pattern, _price, _config, _budget, _score, _image and _rules."""
+    context, image = F.col("_context"), F.col("_image")
     euro = lambda c: F.format_string("%.0fEUR", c)
     step = (
         F.when(F.col("_seen"), "seen")
@@ -256,21 +278,21 @@ def decide_listings(
         F.when(at("seen"), F.array().cast(_EVIDENCE_TYPE)).otherwise(F.col("rule_evidence")),
         F.array_compact(
             F.array(
-                F.when(at("seen"), _item("seen", "SKIP", F.lit("Annuncio già visto"))),
-                F.when(passed("context") & context.isNotNull(), _item("context", rejects("context"), F.coalesce("context_reason", F.lit("")))),
-                F.when(passed("pattern"), _item("pattern", rejects("pattern"), F.col("_pattern"))),
-                F.when(passed("budget"), _item("budget", rejects("budget"), F.concat(euro(F.col("_price")), F.lit(" / budget "), euro(F.col("_budget"))))),
-                F.when(passed("score"), _item("score", rejects("score"), F.format_string("Score finale %d/100", F.col("_score")))),
-                F.when(passed("vision") & image.isNotNull(), _item("vision", rejects("vision"), F.coalesce("image_reason", F.lit("")))),
-                F.when(~at("seen"), _item("decision", status, reason)),
+                F.when(at("seen"), evidence_item("seen", "SKIP", F.lit("Annuncio già visto"))),
+                F.when(passed("context") & context.isNotNull(), evidence_item("context", rejects("context"), F.coalesce("context_reason", F.lit("")))),
+                F.when(passed("pattern"), evidence_item("pattern", rejects("pattern"), F.col("_pattern"))),
+                F.when(passed("budget"), evidence_item("budget", rejects("budget"), F.concat(euro(F.col("_price")), F.lit(" / budget "), euro(F.col("_budget"))))),
+                F.when(passed("score"), evidence_item("score", rejects("score"), F.format_string("Score finale %d/100", F.col("_score")))),
+                F.when(passed("vision") & image.isNotNull(), evidence_item("vision", rejects("vision"), F.coalesce("image_reason", F.lit("")))),
+                F.when(~at("seen"), evidence_item("decision", status, reason)),
             )
         ),
     )
     keep_score = at("score") | at("vision") | at("accept")
     return rows.select(
-        *[c for c in df.columns if c != "price"],
+        *[c for c in columns if c != "price"],
         F.col("_price").alias("price"),
-        F.lit(config.name).alias("rules"),
+        F.col("_rules").alias("rules"),
         status.alias("status"),
         "step",
         reason.alias("reason"),
@@ -284,13 +306,6 @@ def decide_listings(
 _EVIDENCE_TYPE = "array<struct<step:string,status:string,reason:string,score_delta:int,confidence:double>>"
 
 
-def decide_for_all(df: DataFrame, configs: list[RuleConfig], verdicts: DataFrame | None = None) -> DataFrame:
-    """Decisions of several rule sets over the same offers."""
-    from functools import reduce
-
-    return reduce(DataFrame.unionByName, [decide_listings(df, c, verdicts) for c in configs])
-
-
 def run_stats(decisions: DataFrame) -> DataFrame:
     """Counts of one cycle."""
     by = lambda status: F.count_if(F.col("status") == status)

@@ -8,7 +8,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarlens.operators import deals
+from bazaarlens.operators import deals, rule_index
 from bazaarlens.plans.fixtures import VIEWS
 from bazaarlens.plans.registry import Inputs, query
 from bazaarlens.sources.rules import RuleConfig, parse_rule_config
@@ -71,8 +71,8 @@ def quantity_sql(t: str, term: str, aliases) -> str:
     return f"coalesce({', '.join(found)})"
 
 
-def decide_sql(config: RuleConfig, source: str = "offers_v") -> str:
-    """CTEs ending in dec_<name>: one decision per offer."""
+def decide_sql(config: RuleConfig, source: str = "offers_v", judged: bool = False) -> str:
+    """CTEs ending in dec_<name>: one decision per offer; judged: the source has verdicts and seen."""
     t, n = "full_text", config.name
     rules = [f"WHEN {any_sql(t, config.exclude_words)} THEN 'rules'"] if config.exclude_words else []
     rules += [f"WHEN NOT {any_sql(t, g)} THEN 'rules'" for g in config.required_groups]
@@ -105,21 +105,32 @@ def decide_sql(config: RuleConfig, source: str = "offers_v") -> str:
     score += "".join(f" + CASE WHEN contains({title}, '{k}') THEN {b} ELSE 0 END" for k, b in config.positive_keywords.items())
     score += "".join(f" - CASE WHEN contains({title}, '{k}') THEN 20 ELSE 0 END" for k in config.negative_keywords)
     score += " + CASE WHEN budget <= 0 THEN 0 WHEN price / budget <= 0.5 THEN 10 WHEN price / budget <= 0.7 THEN 5 WHEN price / budget <= 0.9 THEN 2 WHEN price / budget >= 1.0 THEN -15 ELSE 0 END"
+    choose = "pattern AS cfg, price AS asked"
+    late = "false"
+    first, last = "", ""
+    if judged:
+        choose = """CASE WHEN context_ok AND context_config <> 'standard' THEN context_config WHEN pattern = 'RIGETTATO' THEN 'standard' ELSE pattern END AS cfg,
+  CASE WHEN context_ok AND context_price <> 0 THEN context_price ELSE price END AS asked"""
+        first = "WHEN seen THEN 'seen'"
+        late = "NOT context_ok"
+        last = "WHEN image_url <> '' AND NOT image_ok THEN 'vision'"
+    budget, score = budget.replace("pattern", "cfg"), score.replace("price / budget", "asked / budget")
     return f"""a_{n} AS (SELECT *, lower(trim(title || chr(10) || description)) AS full_text FROM {source}),
 b_{n} AS (SELECT *, CASE {' '.join(rules)} ELSE 'ok' END AS rule_step, {pattern} AS pattern, -({unit}) AS unit_total FROM a_{n}),
-c_{n} AS (SELECT *, coalesce(unit_total, {budget}) AS budget FROM b_{n}),
+e_{n} AS (SELECT *, {choose} FROM b_{n}),
+c_{n} AS (SELECT *, coalesce(unit_total, {budget}) AS budget FROM e_{n}),
 d_{n} AS (SELECT *, greatest(0, least(100, {score})) AS raw_score FROM c_{n}),
-dec_{n} AS (SELECT *, CASE WHEN rule_step = 'rules' THEN 'rules' WHEN pattern = 'RIGETTATO' THEN 'pattern' WHEN price > budget THEN 'budget'
-  WHEN raw_score < 40 THEN 'score' ELSE 'accept' END AS step FROM d_{n})"""
+dec_{n} AS (SELECT *, CASE {first} WHEN rule_step = 'rules' THEN 'rules' WHEN {late} THEN 'context' WHEN pattern = 'RIGETTATO' THEN 'pattern' WHEN asked > budget THEN 'budget'
+  WHEN raw_score < 40 THEN 'score' {last} ELSE 'accept' END AS step FROM d_{n})"""
 
 
 DECISION_COLUMNS = ["listing_id", "rules", "status", "step", "score", "config", "budget", "price"]
 
 
 def decision_select(config: RuleConfig) -> str:
-    return f"""SELECT listing_id, '{config.name}' AS rules, CASE WHEN step = 'accept' THEN 'ACCEPT' ELSE 'REJECT' END AS status, step,
-  CAST(CASE WHEN step IN ('score', 'accept') THEN raw_score ELSE 0 END AS INTEGER) AS score,
-  CASE WHEN step IN ('score', 'accept', 'budget') THEN pattern ELSE 'standard' END AS config, budget, price FROM dec_{config.name}"""
+    return f"""SELECT listing_id, '{config.name}' AS rules, CASE step WHEN 'accept' THEN 'ACCEPT' WHEN 'seen' THEN 'SKIP' ELSE 'REJECT' END AS status, step,
+  CAST(CASE WHEN step IN ('score', 'vision', 'accept') THEN raw_score ELSE 0 END AS INTEGER) AS score,
+  CASE WHEN step IN ('score', 'vision', 'accept', 'budget') THEN cfg ELSE 'standard' END AS config, budget, asked AS price FROM dec_{config.name}"""
 
 
 @query(
@@ -171,15 +182,24 @@ def deal_score(v: Inputs) -> DataFrame:
     f"WITH {decide_sql(RAM)}, {decide_sql(WIDGETS)} {decision_select(RAM)} UNION ALL {decision_select(WIDGETS)}",
 )
 def decide_listings(v: Inputs) -> DataFrame:
-    return deals.decide_for_all(v("offers_v"), [RAM, WIDGETS]).select(*DECISION_COLUMNS)
+    return rule_index.decide_many(v("offers_v"), [RAM, WIDGETS]).select(*DECISION_COLUMNS)
 
 
-VERDICT_SQL = """verdicts AS (SELECT DISTINCT listing_id, l_orderkey % 5 <> 0 AS context_ok, CASE WHEN l_orderkey % 7 = 0 THEN '16gb' END AS context_config,
-  CASE WHEN l_orderkey % 11 = 0 THEN 50.0::DOUBLE END AS context_price, l_partkey % 9 <> 0 AS image_ok FROM offers_v WHERE l_orderkey % 3 <> 0)"""
+JUDGED_SQL = """verdicts AS (SELECT DISTINCT listing_id, l_orderkey % 5 <> 0 AS context_ok, CASE WHEN l_orderkey % 7 = 0 THEN '16gb' END AS context_config,
+  CASE WHEN l_orderkey % 11 = 0 THEN 50.0::DOUBLE END AS context_price, l_partkey % 9 <> 0 AS image_ok FROM offers_v WHERE l_orderkey % 3 <> 0),
+seen_ids AS (SELECT DISTINCT listing_id, true AS was_seen FROM offers_v WHERE l_linenumber = 7),
+judged AS (SELECT o.*, v.context_ok, v.context_config, v.context_price, v.image_ok, coalesce(s.was_seen, false) AS seen
+  FROM offers_v o LEFT JOIN verdicts v USING (listing_id) LEFT JOIN seen_ids s USING (listing_id))"""
 
 
-@query("decide_with_verdicts")
+@query(
+    "decide_with_verdicts",
+    ["offers_v"],
+    f"WITH {JUDGED_SQL}, {decide_sql(RAM, 'judged', True)}, {decide_sql(WIDGETS, 'judged', True).replace('NOT context_ok', 'false').replace('context_ok AND', 'false AND')} "
+    f"{decision_select(RAM)} UNION ALL {decision_select(WIDGETS)}",
+)
 def decide_with_verdicts(v: Inputs) -> DataFrame:
+    """Two rule sets at once; the second asks for no context."""
     offers = v("offers_v")
     verdicts = offers.where("l_orderkey % 3 <> 0").select(
         "listing_id",
@@ -189,7 +209,7 @@ def decide_with_verdicts(v: Inputs) -> DataFrame:
         (F.col("l_partkey") % 9 != 0).alias("image_ok"),
     ).dropDuplicates(["listing_id"])
     seen = offers.where("l_linenumber = 7").select("listing_id")
-    return deals.decide_listings(offers, RAM, verdicts, seen).select(*DECISION_COLUMNS)
+    return rule_index.decide_many(offers, [RAM, WIDGETS], verdicts, seen).select(*DECISION_COLUMNS)
 
 
 @query(
@@ -219,7 +239,7 @@ def run_stats(v: Inputs) -> DataFrame:
 @query(
     "alert_rows",
     ["offers_v"],
-    f"""WITH {decide_sql(RAM)} SELECT 'ram_ddr4' AS rules, listing_id, platform, title, price, pattern AS config, budget, CAST(raw_score AS INTEGER) AS score, '' AS url
+    f"""WITH {decide_sql(RAM)} SELECT 'ram_ddr4' AS rules, listing_id, platform, title, price, cfg AS config, budget, CAST(raw_score AS INTEGER) AS score, '' AS url
 FROM dec_ram_ddr4 WHERE step = 'accept'""",
 )
 def alert_rows(v: Inputs) -> DataFrame:

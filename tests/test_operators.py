@@ -3,12 +3,14 @@
 import itertools
 import math
 import random
+from functools import reduce
 from statistics import median
 
+import pytest
 from pyspark.sql import functions as F
 
-from bazaarlens.operators import deals, evidence, opportunity, pages, promotion, resolver, upsert
-from bazaarlens.plans.deal_queries import RAM
+from bazaarlens.operators import deals, evidence, opportunity, pages, promotion, resolver, rule_index, upsert
+from bazaarlens.plans.deal_queries import RAM, WIDGETS
 from bazaarlens.sources.rules import parse_rule_config
 
 
@@ -268,3 +270,48 @@ def test_jsonld_keeps_order_and_nested_lists(spark):
     got = sorted(jsonld_products(pages).collect(), key=lambda r: r["position"])
     assert [r["title"] for r in got] == [f"n{i}" for i in range(150)] * 2 + ["deep"]
     assert len({r["position"] for r in got}) == 301 and got[-1]["url"] == "https://x.it/x"
+
+
+def test_rule_index_equals_single_rule_sets(spark):
+    """All rule sets through the index at once, with verdicts, seen ids and images, against one by one."""
+    rng = random.Random(4)
+    pieces = ["ddr4", "DDR 4", "ram", "32gb", "32 GB", "132gb", "2x32gb", "4 moduli", "sodimm", "pc", "scheda madre", "corsair", "cold", "widget", "b\nolt", "è", "  "]
+    words = ["ddr4", "32gb", "2x16gb", "pc", "co", "è", "scheda madre", "16 gb", "w", "cold"]
+    configs = [RAM, WIDGETS] + [
+        parse_rule_config(
+            {
+                "name": f"rules {i}",
+                "exclude_words": rng.sample(words, rng.randint(0, 2)),
+                "required_words": rng.sample(words, rng.randint(0, 2)),
+                "required_groups": [rng.sample(words, 2) for _ in range(rng.randint(0, 2))],
+                "distractor_words": rng.sample(words, rng.randint(0, 2)),
+                "context_check_enabled": rng.random() < 0.5,
+                "vision_enabled": rng.random() < 0.5,
+                "budget": rng.choice([90, {"configurations": {"big": 150.0, "standard": 70.0}}]),
+                "unit_budget_rules": [{"name": "u", "match": rng.sample(words, 2), "max_price_per_unit": 40, "unit_aliases": ["moduli"]}],
+                "config_patterns": {"big": rng.sample(words, 1), "small": rng.sample(words, 1)},
+                "reject_patterns": rng.sample(words, rng.randint(0, 1)),
+                "premium_brands": ["corsair"],
+                "positive_keywords": {"ddr4": 5, "co": 3},
+                "negative_keywords": rng.sample(words, 1),
+            }
+        )
+        for i in range(6)
+    ]
+    rows = [
+        (f"l{i}", "EBAY", " ".join(rng.choice(pieces) for _ in range(4)), rng.choice([None, "", "difettoso", "4 x 32gb"]), float(rng.randint(1, 200)), rng.choice([None, "img"]))
+        for i in range(60)
+    ] + [("null", None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "listing_id string, platform string, title string, description string, price double, image_url string")
+    verdicts = spark.createDataFrame(
+        [(f"l{i}", rng.random() < 0.6, "why", rng.choice([None, "big", "standard"]), rng.choice([None, 50.0]), rng.random() < 0.5) for i in range(40)],
+        "listing_id string, context_ok boolean, context_reason string, context_config string, context_price double, image_ok boolean",
+    )
+    seen = spark.createDataFrame([("l3",), ("l3",), ("l50",)], "listing_id string")
+    for extra in ((None, None), (verdicts, seen)):
+        got = rule_index.decide_many(df, configs, *extra)
+        want = reduce(lambda a, b: a.unionByName(b), [deals.decide_listings(df, c, *extra) for c in configs])
+        assert sorted(map(repr, got.select(*want.columns).collect())) == sorted(map(repr, want.collect()))
+        assert {r.step for r in got.collect()} >= {"rules", "budget", "accept"}
+    with pytest.raises(ValueError):
+        rule_index.decide_many(df, [RAM, RAM])
