@@ -42,7 +42,7 @@ def letter_table() -> np.ndarray:
     global _LETTERS
     if _LETTERS is None:
         table = np.full(0x110000, 32, np.uint32)
-        for cp in range(0x30000):
+        for cp in range(0x110000):
             c = chr(cp)
             if c.isalpha():
                 low = c.lower()
@@ -115,7 +115,8 @@ class LanguageFilters:
                 hit = (found >> np.uint64(i % SLICE)) & np.uint64(1)
                 counts[:, i] = np.bincount(who, hit, minlength=len(texts))
         if self.languages:
-            counts = np.maximum(counts - total[:, None] * self.false_rate, 0) / (1 - self.false_rate)
+            room = 1 - self.false_rate  # a full filter says nothing: its count is 0
+            counts = np.maximum(counts - total[:, None] * self.false_rate, 0) * (room > 0) / np.where(room > 0, room, 1)
         best = counts.argmax(1)
         score = counts.max(1) / np.maximum(counts.sum(1), 1e-12)
         names = [

@@ -1,7 +1,7 @@
 """Exact Jaccard join of word n-gram sets by a token-group matrix.
 
-Documents with equal sets are one class. Similar sets (one min-hash, one size class) form groups of
-bounded size; each group stores the union of its members' tokens. A set can only reach the threshold
+Documents with equal sets are one class. Similar sets (those that share a frequent segment, see below)
+form groups of bounded size; each group stores the union of its members' tokens. A set can only reach the threshold
 with a member of a group if enough of its tokens are in that union, so the union bounds the overlap,
 and only qualifying groups are opened and compared member by member.
 
@@ -18,8 +18,8 @@ already and share enough segments with it, so that no link between components is
 
 Sets are compared as 64-bit token hashes, classes by 128 bits. Text: A-Z are lower-cased, words are stretches
 without ASCII white space. Null, empty and blank texts have an empty set and link with nothing. Repeated rows
-and rows with a null doc_id belong to the class of their text (its component_id is the least doc_id
-that is not null; null if there is none).
+and rows with a null doc_id belong to the class of their text and link like all others (a component_id
+is the least doc_id that is not null; null if there is none).
 """
 
 from __future__ import annotations
@@ -174,62 +174,71 @@ def segment_signatures(flat: np.ndarray, offsets: np.ndarray, percent: int) -> t
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _texts(documents: DataFrame) -> DataFrame:
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+ROWS = T.StructType(
+    [T.StructField(c, T.LongType()) for c in ("doc_id", "text_key", "size", "set", "check")]
+    + [T.StructField("signatures", T.ArrayType(T.LongType())), T.StructField("needs", T.ArrayType(T.ShortType()))]
+    + [T.StructField("levels", T.ArrayType(T.ByteType()))]
+)
+CELLS = "set long, signature long, level int, need int"
 
 
-def _described(documents: DataFrame, n: int) -> DataFrame:
-    """doc_id, size, set and check (128 bits of the set), near (min-hash) of each row."""
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "size", "set", "check", "near")])
+def _set_names(flat: np.ndarray, offsets: np.ndarray) -> list[int]:
+    return [xxhash.xxh128_intdigest(flat[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+
+
+def _low(names: list[int], shift: int = 0) -> np.ndarray:
+    return np.array([(w >> shift) & ((1 << 64) - 1) for w in names], np.uint64).view(np.int64)
+
+
+def _described(documents: DataFrame, n: int, percent: int) -> DataFrame:
+    """One pass over the texts: doc_id, text_key, size, set and check (128 bits of the set) of each
+    row, and the signatures of its segments (48 bits) with their levels and needs."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in text_steps(batches, "text", STEP):
             flat, offsets = shingle_sets(texts, n)
-            near = mix64(flat + np.uint64(0x632BE59BD9B4E019))
-            bounds = list(zip(offsets[:-1].tolist(), offsets[1:].tolist()))
-            whole = [xxhash.xxh128_intdigest(flat[a:b]) for a, b in bounds]
-            least = np.array([near[a:b].min() if b > a else 0 for a, b in bounds], np.uint64)
-            low = (1 << 64) - 1
-            halves = [[w & low for w in whole], [w >> 64 for w in whole]]
+            signature, owner, level, need = segment_signatures(flat, offsets, percent)
+            order = np.argsort(owner, kind="stable")
+            bounds = pa.array(np.r_[0, np.cumsum(np.bincount(owner, minlength=len(texts)))].astype(np.int32))
+            lists = (
+                (signature[order] >> np.uint64(16)).astype(np.int64),
+                np.minimum(need[order], 2**15 - 1).astype(np.int16),
+                level[order].astype(np.int8),
+            )
+            names = _set_names(flat, offsets)
             yield pa.RecordBatch.from_arrays(
                 [
                     rows.column("doc_id"),
+                    rows.column("text_key"),
                     pa.array(np.diff(offsets)),
-                    *(pa.array(np.array(h, np.uint64).view(np.int64)) for h in halves),
-                    pa.array(least.view(np.int64)),
+                    pa.array(_low(names)),
+                    pa.array(_low(names, 64)),
+                    *(pa.ListArray.from_arrays(bounds, pa.array(x)) for x in lists),
                 ],
-                names=schema.names,
+                names=ROWS.names,
             )
 
-    return _texts(documents).mapInArrow(run, schema)
-
+    text = F.col("text").cast("string")
+    columns = F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text")
+    return documents.select(*columns).mapInArrow(run, ROWS)
 
-def _cells(documents: DataFrame, n: int, percent: int, wanted: Broadcast | None = None) -> DataFrame:
-    """(set, signature) of all rows, by 48 bits of the signature.
 
-    With a table of bits, of the signatures in it only, and with level and need.
-    """
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("set", "signature")])
-    if wanted is not None:
-        schema = schema.add("level", T.IntegerType()).add("need", T.IntegerType())
+def _cells_in(rows: DataFrame, wanted: Broadcast) -> DataFrame:
+    """(set, signature, level, need) of all signatures whose bit is in the table."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in text_steps(batches, "text", STEP):
-            flat, offsets = shingle_sets(texts, n)
-            signature, owner, *more = segment_signatures(flat, offsets, percent)
-            signature = (signature >> np.uint64(16)).astype(np.int64)
-            if wanted is not None:
-                held = wanted.value
-                place = signature & (len(held) * 64 - 1)
-                some = (held[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
-                signature, owner = signature[some], owner[some]
-                more = [pa.array(x[some]) for x in more]
-            bounds = zip(offsets[:-1].tolist(), offsets[1:].tolist())
-            sets = np.array([xxhash.xxh128_intdigest(flat[a:b]) & ((1 << 64) - 1) for a, b in bounds], np.uint64)
-            columns = [pa.array(sets.view(np.int64)[owner]), pa.array(signature)]
-            yield pa.RecordBatch.from_arrays(columns + (more if wanted is not None else []), names=schema.names)
-
-    return _texts(documents).mapInArrow(run, schema)
+        held = wanted.value
+        for batch in batches:
+            lists = batch.column("signatures")
+            signature = lists.flatten().to_numpy()
+            place = signature & (len(held) * 64 - 1)
+            some = (held[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
+            owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))[some]
+            level, need = (batch.column(c).flatten().to_numpy()[some].astype(np.int32) for c in ("levels", "needs"))
+            columns = batch.column("set").to_numpy()[owner], signature[some], level, need
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["set", "signature", "level", "need"])
+
+    return rows.select("set", "signatures", "levels", "needs").mapInArrow(run, CELLS)
 
 
 def bit_table(rows: DataFrame, number: Column, bits: int) -> Broadcast:
@@ -248,12 +257,12 @@ def bit_table(rows: DataFrame, number: Column, bits: int) -> Broadcast:
 
 
 def _sets_of(documents: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """wanted (set, leader, ...) with tokens (sorted hashes as bytes), read again from the texts.
+    """wanted (set, text_key, ...) with tokens (sorted hashes as bytes), read again from the texts.
 
     A table of bits, at most 2 MB, says which texts may be wanted; the join with wanted is exact.
     """
-    held = bit_table(wanted, F.xxhash64("leader"), TABLE_BITS)
-    schema = T.StructType([T.StructField("leader", T.LongType()), T.StructField("set", T.LongType()), T.StructField("tokens", T.BinaryType())])
+    held = bit_table(wanted, F.col("text_key"), TABLE_BITS)
+    schema = T.StructType([T.StructField("set", T.LongType()), T.StructField("tokens", T.BinaryType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = held.value
@@ -261,25 +270,16 @@ def _sets_of(documents: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             place = batch.column("place").to_numpy()
             seen = (table[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1)
             chosen = batch.take(pa.array(np.flatnonzero(seen)))
-            for rows, texts in text_steps([chosen], "text", STEP):
+            for _, texts in text_steps([chosen], "text", STEP):
                 flat, offsets = shingle_sets(texts, n)
-                parts = [flat[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-                sets = [xxhash.xxh128_intdigest(p) & ((1 << 64) - 1) for p in parts]
+                parts = [flat[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        rows.column("doc_id"),
-                        pa.array(np.array(sets, np.uint64).view(np.int64)),
-                        pa.array([p.tobytes() for p in parts], pa.binary()),
-                    ],
-                    names=schema.names,
+                    [pa.array(_low(_set_names(flat, offsets))), pa.array(parts, pa.binary())], names=schema.names
                 )
 
-    doc = F.col("doc_id").cast("long")
-    rows = documents.where(doc.isNotNull()).select(
-        doc.alias("doc_id"), F.xxhash64(doc).bitwiseAND((1 << TABLE_BITS) - 1).alias("place"), F.col("text").cast("string").alias("text")
-    )
-    # a repeated doc_id may have other texts: the set must agree too, and equal rows count once
-    return rows.mapInArrow(run, schema).join(wanted, ["leader", "set"]).dropDuplicates(["set"])
+    text = F.col("text").cast("string")
+    rows = documents.select(F.xxhash64(text).bitwiseAND((1 << TABLE_BITS) - 1).alias("place"), text.alias("text"))
+    return rows.mapInArrow(run, schema).join(wanted, "set").dropDuplicates(["set"])
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray], union: np.ndarray) -> np.ndarray:
@@ -420,39 +420,35 @@ def jaccard_components(documents: DataFrame, n: int = 3, percent: int = 90) -> D
 
     Two sets link when 100 * intersection >= percent * union.
     """
-    rows = stored(_described(documents, n), "shingle-rows")
+    rows = stored(_described(documents, n, percent), "shingle-rows")
     filled = rows.where("size > 0")
     # segments that two different sets share; 48 bits of each set are enough to tell them apart
-    part = F.shiftright("set", 16)
+    part = F.shiftright("set", 16).alias("part")
     shared = stored(
-        _cells(documents, n, percent)
+        filled.select(part, F.explode("signatures").alias("signature"))
         .groupBy("signature")
-        .agg(F.min(part).alias("low"), F.max(part).alias("high"))
+        .agg(F.min("part").alias("low"), F.max("part").alias("high"))
         .where("low <> high")
         .select("signature"),
         "shared-segments",
     )
     wide = min(TABLE_BITS + 3, max(12, int(shared.count()).bit_length() + 4))
-    cells = _cells(documents, n, percent, bit_table(shared, F.col("signature"), wide))
+    cells = _cells_in(filled, bit_table(shared, F.col("signature"), wide))
     cells = stored(cells.join(shared, "signature").distinct(), "shared-cells")
     # a set links at a level only if it shares as many segments as that takes
     able = cells.groupBy("set", "level").agg(F.count(F.lit(1)).alias("times"), F.max("need").alias("least"))
     cells = cells.join(able.where("times >= least").select("set", "level"), ["set", "level"], "left_semi")
     cells = stored(cells, "able-cells")
-    classes = filled.groupBy("set", "check").agg(
-        F.min("doc_id").alias("leader"), F.max("size").alias("size"), F.max("near").alias("near")
-    )
-    wanted = (
-        classes.where(F.col("leader").isNotNull())
-        .join(cells.select("set").distinct(), "set", "left_semi")
-        .withColumn("class", F.floor(F.log(F.col("size").cast("double")) / float(np.log(100 / percent))))
-    )
-    wanted = stored(wanted, "candidate-sets")
-    parts = wanted.groupBy("near", "class").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts"))
-    grouped = wanted.join(parts, ["near", "class"]).select(
-        "set", "leader", F.xxhash64("near", "class", F.pmod(F.xxhash64("set"), F.col("parts"))).alias("group")
+    classes = filled.groupBy("set", "check").agg(F.min("doc_id").alias("leader"), F.min("text_key").alias("text_key"))
+    # sets that share their most frequent segment are dealt into groups
+    frequent = cells.groupBy("signature").agg(F.count(F.lit(1)).alias("sets"))
+    hub = cells.join(frequent, "signature").groupBy("set").agg(F.max(F.struct("sets", "signature")).alias("hub"))
+    parts = hub.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts"))
+    grouped = hub.join(parts, "hub").select(
+        "set", F.xxhash64("hub.signature", F.pmod(F.xxhash64("set"), F.col("parts"))).alias("group")
     )
-    sets = stored(_sets_of(documents, grouped, n).withColumn("component", F.col("set")), "candidate-tokens")
+    wanted = stored(classes.select("set", "text_key").join(grouped, "set"), "candidate-sets")
+    sets = stored(_sets_of(documents, wanted, n).drop("text_key").withColumn("component", F.col("set")), "candidate-tokens")
     place = sets.select("set", "group")
     matrix = stored(cells.join(place, "set"), "token-groups").select("signature", "level", "need", "set", "group")
     columns = matrix.select("signature", F.col("group").alias("target")).distinct()

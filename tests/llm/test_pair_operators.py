@@ -56,6 +56,20 @@ def brute_jaccard(rows, n, percent):
     return {i: (len(s), low[i]) for i, s in sets}
 
 
+def test_jaccard_links_over_rows_without_ids(spark):
+    """Two texts that are too far apart to link, and one between them whose doc_id is null."""
+    words = [f"w{i}" for i in range(300)]
+    between, other = list(words), list(words)
+    between[10] = between[60] = "x"
+    other[10] = other[60] = "x"
+    other[110] = other[160] = "y"
+    rows = [(1, " ".join(words)), (None, " ".join(between)), (9, " ".join(other)), (None, "alone")]
+    assert brute_jaccard([(i, t) for i, t in rows if i], 3, 96)[9][1] == 9
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in token_groups.jaccard_components(docs, 3, 96).collect()}
+    assert got == {(1, 1), (None, 1), (9, 1), (None, None)}
+
+
 @pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
 def test_jaccard_equals_brute_force(spark, n, percent):
     rng = random.Random(n)

@@ -156,6 +156,12 @@ def test_bloom_counts_are_corrected():
     masks = np.full((1, 1 << language_bloom.BITS), 1, np.uint64)  # the filter of the first language is full
     filters = language_bloom.LanguageFilters(["a", "b"], masks, "a")
     assert filters.false_rate.tolist() == [1.0, 0.0]
+    names, scores = filters.predict(["some words", "\U00030001\U00030001", "123"])
+    assert names == ["a", "a", "und"] and scores.tolist() == [0.0, 0.0, 0.0]  # nothing is known: the usual language
+    masks[:] |= np.uint64(2)
+    masks[0, 0] = 0
+    names, scores = language_bloom.LanguageFilters(["a", "b"], masks, "a").predict(["some words"])
+    assert not np.isnan(scores).any()
 
 
 PAGE = (
