@@ -482,14 +482,24 @@ def jaccard_components(documents: DataFrame, n: int = 3, percent: int = 90) -> D
 
     # what is left: sets outside the largest component of a segment, and groups of other components
     _, held, targets = _apart(matrix, known)
-    second = (
-        held.where(F.col("component") != F.col("major"))
+    # groups meet once for each segment, whatever the number of their sets; then each set looks at
+    # the groups its own group meets and counts the segments that are its own
+    apart = held.where(F.col("component") != F.col("major"))
+    common = (
+        apart.select("signature", "level", "group")
+        .distinct()
         .join(targets, "signature")
-        .where((F.col("target") != F.col("group")) & ~((F.col("low") == F.col("high")) & (F.col("low") == F.col("component"))))
-        .groupBy("set", "target", "level")
-        .agg(F.count(F.lit(1)).alias("times"), F.max("need").alias("least"))
+        .where(F.col("target") != F.col("group"))
+        .groupBy("group", "level", "target", "low", "high")
+        .agg(F.collect_set("signature").alias("common"))
+    )
+    second = (
+        apart.groupBy("set", "group", "component", "level")
+        .agg(F.collect_set("signature").alias("own"), F.max("need").alias("least"))
+        .join(common, ["group", "level"])
+        .where(~((F.col("low") == F.col("high")) & (F.col("low") == F.col("component"))))
         # of the segments that two sets share, each may be seen from the side of either of them
-        .where("2 * times >= least")
+        .where(2 * F.size(F.array_intersect("own", "common")) >= F.col("least"))
         .select("set", "target")
         .distinct()
     )
