@@ -250,9 +250,9 @@ def bit_table(rows: DataFrame, number: Column, bits: int) -> Broadcast:
     place = number.bitwiseAND((1 << bits) - 1)
     word = F.shiftright(place, 6).cast("int").alias("word")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))
-    filled = rows.groupBy(word).agg(F.bit_or(bit).alias("mask")).toPandas()
+    filled = rows.groupBy(word).agg(F.bit_or(bit).alias("mask")).toArrow()
     table = np.zeros(1 << (bits - 6), np.uint64)
-    table[filled["word"].to_numpy(np.int64)] = filled["mask"].to_numpy(np.int64).view(np.uint64)
+    table[filled["word"].to_numpy()] = filled["mask"].to_numpy().view(np.uint64)
     return rows.sparkSession.sparkContext.broadcast(table)
 
 
