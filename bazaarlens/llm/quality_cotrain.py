@@ -1,18 +1,24 @@
 """Quality by co-training: a text-content and a page-metadata classifier teach each other.
 
 The content view sees relative frequencies of character trigrams (hashed). The metadata view sees
-source, language and length, and the page's layout: lines, cases, marks, digits, repeated words and
-repeated lines, each cut into bins. Both start from labelled rows; in every round each adds the
-unlabelled rows it is surest of, in the proportion of the classes, to the other's training rows.
-Then each view is calibrated on labelled rows kept aside, and the calibrated log-odds are combined by
-a logistic model on the same rows. The combination scores all documents.
-
-Fitting uses bounded samples (`fit_rows` labelled and `pool_rows` unlabelled rows, in the order of a
-hash of doc_id; exact copies of a text count once). Labels of the held-out fold are not learned from.
-
-Null text counts as empty, null source, lang or n_chars as values of their own. Rows are scored one by one, so
-repeated rows get equal scores. Without labels of both kinds every score is 1 (nothing is rejected)
-or, where all labels are 0, 0.
+source, language and the page's layout: length, lines, cases, marks, digits, repeated words and
+repeated lines, each cut into bins. (n_chars is the length of text, so it is not read.) Both start
+from labelled rows. In every round each view scores all documents, and those it is surest of, in the
+proportion of the classes, teach the other view. Then each view is calibrated on labelled rows kept
+aside, and the calibrated log-odds are combined by a logistic model on the same rows. The combination
+scores all documents.
+
+Labelled rows are a bounded sample (`fit_rows`, in the order of a hash of doc_id; exact copies of a
+text count once). The exchange has no bound: each round is one pass over all texts, whose tasks return
+sums of a fixed size. The surest share is found in score bins counted over all documents (documents
+of one bin go together, so ties do), the content view learns from trigram sums of each pseudo-class,
+and the metadata view from gradients summed over all. Only bins, sums and weights reach the driver.
+Labelled rows take part in the exchange like all others, without their labels. Pseudo-labels weigh
+`trust` times the labelled rows, however many they are. Labels of the held-out fold are not learned from.
+
+Null text counts as empty, null source or lang as values of their own, and rows without doc_id teach
+like others. Rows are scored one by one, so repeated rows get equal scores. Without labels of both
+kinds every score is 1 (nothing is rejected) or, where all labels are 0, 0.
 """
 
 from __future__ import annotations
@@ -29,9 +35,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bazaarlens.llm.common import code_points, hash_first, stored, text_steps
+from bazaarlens.llm.common import code_points, stored, text_steps
 from bazaarlens.llm.linear import fit_logistic, sigmoid
-from bazaarlens.llm.toxicity import is_held_out, labelled_sample
+from bazaarlens.llm.toxicity import labelled_sample
 
 BITS = 15
 SCALE = 300.0
@@ -56,15 +62,20 @@ def kind_table() -> np.ndarray:
 
 
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number and bucket of every trigram, and the number of trigrams of each text."""
+    """Text number and bucket of every trigram, and the number of trigrams of each text (at least 1).
+
+    Both ends of a text count as a mark. No trigram spans two texts; an empty text has none.
+    """
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 2
     points = code_points("".join([f"\x01{t}\x01" for t in texts]))
     value = points[:-2] * np.uint32(0x9E3779B1)
     value = (value ^ points[1:-1]) * np.uint32(0x85EBCA6B)
     value = (value ^ points[2:]) * np.uint32(0xC2B2AE35)
-    bucket = value >> np.uint32(32 - BITS)
     owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)[:-2]
-    return owner, bucket, sizes
+    inside = np.ones(len(owner), bool)
+    ends = np.cumsum(sizes)[:-1]
+    inside[ends - 1] = inside[ends - 2] = False
+    return owner[inside], (value >> np.uint32(32 - BITS))[inside], np.maximum(sizes - 2, 1)
 
 
 def statistics(texts: list[str]) -> np.ndarray:
@@ -129,40 +140,16 @@ class QualityModel:
         return sigmoid(np.concatenate([views, both[:, None]], 1))
 
 
-def _sample(documents: DataFrame, labels: DataFrame, fit_rows: int, pool_rows: int) -> DataFrame:
-    """Labelled rows, and unlabelled ones with a null label, with source and lang."""
-    known = labelled_sample(documents, labels, "quality", fit_rows)
-    labelled = labels.where(F.col("quality").isNotNull()).select("doc_id").distinct()
-    others = (
-        documents.where(F.col("doc_id").isNotNull())
-        .select("doc_id")
-        .join(labelled, "doc_id", "left_anti")
-        .distinct()
-    )
-    pool = hash_first(others, "doc_id", pool_rows)
-    rows = documents.select(
-        "doc_id", *(F.col(c).cast("string").alias(c) for c in ("text", "source", "lang"))
-    )
-    picked = known.select("doc_id", "label").unionByName(pool.withColumn("label", F.lit(None).cast("int")))
-    # bounded by fit_rows + pool_rows
-    return (
-        rows.join(F.broadcast(picked), "doc_id")
+def _described(documents: DataFrame, labels: DataFrame, fit_rows: int) -> pa.Table:
+    """The labelled rows, at most fit_rows, by doc_id: label, trigram counts, statistics, source, lang."""
+    known = labelled_sample(documents, labels, "quality", fit_rows).select("doc_id", "label")
+    rows = documents.select("doc_id", *(F.col(c).cast("string").alias(c) for c in ("text", "source", "lang")))
+    sample = (
+        rows.join(F.broadcast(known), "doc_id")
         .groupBy("doc_id")
         .agg(F.min(F.struct("text", "source", "lang", "label")).alias("row"))
-        .select("doc_id", "row.*")
+        .select(F.col("doc_id").cast("long").alias("doc_id"), "row.*")
     )
-
-
-def fit_quality(
-    documents: DataFrame,
-    labels: DataFrame,
-    fit_rows: int = 4000,
-    pool_rows: int = 4000,
-    rounds: int = 4,
-    share: float = 0.1,
-) -> QualityModel:
-    """Co-train on bounded samples. In each round a view passes on `share` of the pool."""
-    sample = stored(_sample(documents, labels, fit_rows, pool_rows).repartition(8, "doc_id"), "quality-sample")
     shape = T.StructType(
         [T.StructField("doc_id", T.LongType()), T.StructField("label", T.IntegerType())]
         + [T.StructField(c, T.ArrayType(k)) for c, k in (("bucket", T.IntegerType()), ("times", T.IntegerType()), ("stats", T.DoubleType()))]
@@ -174,104 +161,282 @@ def fit_quality(
             owner, bucket, _ = trigrams(texts)
             keys, times = np.unique((owner.astype(np.int64) << BITS) | bucket, return_counts=True)
             ends = pa.array(np.r_[0, np.cumsum(np.bincount(keys >> BITS, minlength=len(texts)))].astype(np.int32))
-            stats = statistics(texts)
             yield pa.RecordBatch.from_arrays(
                 [
                     rows.column("doc_id"),
                     rows.column("label"),
                     pa.ListArray.from_arrays(ends, pa.array((keys & ((1 << BITS) - 1)).astype(np.int32))),
                     pa.ListArray.from_arrays(ends, pa.array(times.astype(np.int32))),
-                    pa.array(list(stats), pa.list_(pa.float64())),
+                    pa.array(list(statistics(texts)), pa.list_(pa.float64())),
                     rows.column("source"),
                     rows.column("lang"),
                 ],
                 names=shape.names,
             )
 
-    ordered = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "label", "text", "source", "lang")
-    found = ordered.mapInArrow(describe, shape).toArrow()
-    if found.num_rows == 0:
-        return QualityModel(mixture=np.array([0.0, 0.0, 35.0]))
-    found = found.sort_by("doc_id")  # the same rows in the same order on every run
-    label = found.column("label").to_pandas().to_numpy(float)
-    known = ~np.isnan(label)
-    if len(set(label[known].tolist())) < 2:
-        bad = known.any() and label[known].max() < 1
-        return QualityModel(mixture=np.array([0.0, 0.0, -35.0 if bad else 35.0]))
-    return _cotrain(found, label, known, rounds, share)
-
-
-def _cotrain(found: pa.Table, label: np.ndarray, known: np.ndarray, rounds: int, share: float) -> QualityModel:
-    model = QualityModel()
-    lists = found.column("bucket").combine_chunks()
-    sizes = np.diff(lists.offsets.to_numpy())
-    # short numbers: these arrays are what the driver holds most of
-    cols = lists.flatten().to_numpy()
-    values = found.column("times").combine_chunks().flatten().to_numpy().astype(np.float32)
-    rows = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-    values *= (SCALE / np.maximum(np.bincount(rows, values, minlength=len(sizes)), 1)).astype(np.float32)[rows]
-    stats = np.array(found.column("stats").to_pylist())
-    model.edges = np.quantile(stats[known], np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T
-    columns = model.meta_columns(stats, found.column("source").to_pylist(), found.column("lang").to_pylist())
-    meta_rows, meta_cols = np.repeat(np.arange(len(columns)), columns.shape[1]), columns.ravel()
-
-    # every fourth labelled row is kept aside to calibrate and combine
-    aside = np.zeros(len(label), bool)
-    aside[np.flatnonzero(known)[::4]] = True
-    if len(set(label[known & ~aside].tolist())) < 2 or len(set(label[aside].tolist())) < 2:
-        aside = known.copy()
-        train = known.copy()
-    else:
-        train = known & ~aside
-    taught = [np.where(train, label, np.nan), np.where(train, label, np.nan)]
-    prior = label[train].mean()
-    free = ~known
-
-    def fit(view: int) -> np.ndarray:
-        """Fit a view to its training rows; log-odds of all rows."""
-        target = taught[view]
-        use = ~np.isnan(target)
-        # pseudo-labels count half
-        weight = np.where(use, np.where(train, 1.0, 0.5), 0.0)
-        args = (rows, cols, values, 1 << BITS) if view == 0 else (meta_rows, meta_cols, np.ones(len(meta_rows)), WIDTH)
-        r, c, v, width = args
-        inside = use[r]
-        some = (r, c, v) if inside.all() else (r[inside], c[inside], v[inside])
-        w, bias = fit_logistic(*some, np.nan_to_num(target), weight, width, decay=0.3)
-        del some, inside
-        if view == 0:
-            model.content, model.content_bias = w, bias
-        else:
-            model.meta, model.meta_bias = w, bias
-        return np.bincount(r, v * w[c], minlength=len(label)) + bias
-
-    odds = [fit(0), fit(1)]
-    for _ in range(rounds):
-        n = int(share * free.sum())
-        for view in (0, 1):
-            open_ = np.flatnonzero(free & np.isnan(taught[1 - view]))
-            order = open_[np.argsort(odds[view][open_], kind="stable")]
-            low = order[: int(round(n * (1 - prior)))]
-            high = order[::-1][: int(round(n * prior))]
-            # a pseudo-label must be on its own side, or it would teach noise
-            taught[1 - view][low[odds[view][low] < 0]] = 0
-            taught[1 - view][high[odds[view][high] > 0]] = 1
-        odds = [fit(0), fit(1)]
-
-    y = label[aside]
-    one = np.arange(aside.sum())
-    views = []
-    for view in (0, 1):
-        x = odds[view][aside]
-        scale = max(float(np.abs(x).mean()), 1e-6)
-        w, bias = fit_logistic(one, np.zeros(len(one), np.int64), x / scale, y, np.ones(len(one)), 1, decay=0.01, rounds=400)
-        model.calibration[view] = max(w[0], 0) / scale, bias
-        views.append(np.clip(x * model.calibration[view, 0] + bias, -12, 12))
-    w, bias = fit_logistic(
-        np.tile(one, 2), np.repeat([0, 1], len(one)), np.concatenate(views), y, np.ones(len(one)), 2, decay=0.1, rounds=400
+    columns = sample.select("doc_id", "label", "text", "source", "lang")
+    # the same rows in the same order on every run
+    return columns.mapInArrow(describe, shape).toArrow().sort_by("doc_id")
+
+
+def fit_quality(
+    documents: DataFrame,
+    labels: DataFrame,
+    fit_rows: int = 4000,
+    rounds: int = 4,
+    share: float = 0.1,
+    trust: float = 0.5,
+) -> QualityModel:
+    """Co-train over all documents. In round k a view passes on its surest k * `share` of them."""
+    found = _described(documents, labels, fit_rows)
+    label = found.column("label").to_numpy().astype(float)
+    if len(set(label.tolist())) < 2:
+        return QualityModel(mixture=np.array([0.0, 0.0, -35.0 if len(label) and label.max() < 1 else 35.0]))
+    taught = _Labelled(found, label, trust)
+    taught.fit_content(None)
+    taught.fit_meta(None)
+    prior = float(label[taught.train].mean())
+    texts = documents.select(*(F.col(c).cast("string").alias(c) for c in ("text", "source", "lang")))
+    passed = stored(_one_pass(texts, taught.model, None), "quality-pass")
+    for k in range(1, rounds + 1):
+        rows = passed.where(F.col("layout").isNotNull())
+        sure = _surest(_meta_odds(rows, taught.model), k * share, prior)
+        # this pass sums what metadata teaches content, and scores content as it was before
+        passed = stored(_one_pass(texts, taught.model, sure), "quality-pass")
+        rows = passed.where(F.col("layout").isNotNull())
+        sure = _surest(rows.select("odds"), k * share, prior)
+        taught.fit_meta(lambda model: _gradient(rows, model, sure))
+        taught.fit_content(_sums(passed))
+    return taught.calibrated()
+
+
+#: Frequencies and gradients are summed as whole multiples of 1 / GRAIN, so sums are exact in any order.
+#: 63 bits hold those of 10^10 documents, and a text of 10^8 characters still counts.
+GRAIN = 1 << 28
+#: Score bins between -SPAN and SPAN.
+SCORE_BINS, SPAN = 4096, 32.0
+GRADIENT_STEPS = 4
+
+
+def _classes(odds: np.ndarray, sure: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows are surely of class 0 and of class 1. A pseudo-label must be on its own side of 0."""
+    return (odds <= sure[0]) & (odds < 0), (odds >= sure[1]) & (odds > 0)
+
+
+def _one_pass(texts: DataFrame, model: QualityModel, sure: tuple[float, float] | None) -> DataFrame:
+    """Content log-odds and metadata columns of every row, and trigram sums of a task's pseudo-classes.
+
+    Rows of the second kind have a bucket instead of a layout; bucket -1 counts the rows. Without
+    `sure` (limits of the metadata log-odds) there are none.
+    """
+    held = texts.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = held.value
+        sums = np.zeros((2, 1 << BITS), np.int64)
+        counts = np.zeros(2, np.int64)
+        for rows, texts in text_steps(batches, "text"):
+            owner, bucket, sizes = trigrams(texts)
+            odds = np.bincount(owner, model.content[bucket], minlength=len(texts)) * SCALE / sizes + model.content_bias
+            layout = model.meta_columns(statistics(texts), rows.column("source").to_pylist(), rows.column("lang").to_pylist())
+            nothing = pa.nulls(len(texts), pa.int64())
+            packed = pa.array([z.tobytes() for z in layout.astype(np.int16)], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(odds), packed, pa.nulls(len(texts), pa.int32()), nothing, nothing], names=PASS_SCHEMA.names
+            )
+            if sure is not None:
+                grains = np.round(GRAIN / sizes)
+                for k, chosen in enumerate(_classes(model.meta[layout].sum(1) + model.meta_bias, sure)):
+                    inside = chosen[owner]
+                    sums[k] += np.bincount(bucket[inside], grains[owner[inside]], minlength=1 << BITS).astype(np.int64)
+                    counts[k] += chosen.sum()
+        some = np.flatnonzero(sums.any(0)).astype(np.int32)
+        if counts.any():
+            cells = np.r_[np.int32(-1), some].astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.nulls(len(cells), pa.float64()),
+                    pa.nulls(len(cells), pa.binary()),
+                    pa.array(cells),
+                    *(pa.array(np.r_[counts[k], sums[k][some]]) for k in (0, 1)),
+                ],
+                names=PASS_SCHEMA.names,
+            )
+
+    return texts.mapInArrow(run, PASS_SCHEMA)
+
+
+PASS_SCHEMA = T.StructType(
+    [
+        T.StructField("odds", T.DoubleType()),
+        T.StructField("layout", T.BinaryType()),
+        T.StructField("bucket", T.IntegerType()),
+        T.StructField("bad", T.LongType()),
+        T.StructField("good", T.LongType()),
+    ]
+)
+
+
+def _layouts(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.int16).reshape(len(column), -1).astype(np.int64)
+
+
+def _meta_odds(rows: DataFrame, model: QualityModel) -> DataFrame:
+    held = rows.sparkSession.sparkContext.broadcast((model.meta, model.meta_bias))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, bias = held.value
+        for batch in batches:
+            if batch.num_rows:
+                odds = weights[_layouts(batch.column(0))].sum(1) + bias
+                yield pa.RecordBatch.from_arrays([pa.array(odds)], names=["odds"])
+
+    return rows.select("layout").mapInArrow(run, "odds double")
+
+
+def _surest(odds: DataFrame, share: float, prior: float) -> tuple[float, float]:
+    """Log-odds up to which, and from which on, lie the surest rows: `share` of all, by class.
+
+    Whole bins are taken until the share is reached. At most SCORE_BINS rows come to the driver.
+    """
+    place = F.floor((F.greatest(F.least("odds", F.lit(SPAN)), F.lit(-SPAN)) + SPAN) * (SCORE_BINS / (2 * SPAN)))
+    counts = np.zeros(SCORE_BINS + 1, np.int64)
+    for row in odds.groupBy(place.cast("int").alias("place")).count().collect():
+        counts[row["place"]] = row["count"]
+    wanted = share * counts.sum()
+    low = int(np.searchsorted(np.cumsum(counts), wanted * (1 - prior)))
+    high = SCORE_BINS - int(np.searchsorted(np.cumsum(counts[::-1]), wanted * prior))
+    step = 2 * SPAN / SCORE_BINS
+    # the outermost bins hold what lies beyond the span
+    return (low + 1) * step - SPAN, (high * step - SPAN if high else -np.inf)
+
+
+def _sums(passed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of each pseudo-class, and their summed trigram frequencies: one row a bucket to the driver."""
+    found = (
+        passed.where(F.col("bucket").isNotNull())
+        .groupBy("bucket")
+        .agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+        .toArrow()
     )
-    model.mixture = np.array([max(w[0], 0), max(w[1], 0), bias])
-    return model
+    cells = found.column("bucket").to_numpy()
+    both = np.stack([found.column(c).to_numpy() for c in ("bad", "good")])
+    sums = np.zeros((2, 1 << BITS))
+    sums[:, cells[cells >= 0]] = both[:, cells >= 0] / GRAIN
+    return both[:, cells < 0].sum(1), sums
+
+
+def _gradient(rows: DataFrame, model: QualityModel, sure: tuple[float, float]) -> tuple[int, np.ndarray]:
+    """Number of pseudo-labelled rows, and the sum of their gradients of the metadata model (bias last)."""
+    held = rows.sparkSession.sparkContext.broadcast((model.meta, model.meta_bias))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, bias = held.value
+        sums, count = np.zeros(WIDTH + 1, np.int64), 0
+        for batch in batches:
+            bad, good = _classes(batch.column(0).to_numpy(), sure)
+            use = bad | good
+            if use.any():
+                layout = _layouts(batch.column(1))[use]
+                error = np.round((sigmoid(weights[layout].sum(1) + bias) - good[use]) * GRAIN)
+                sums[:-1] += np.bincount(layout.ravel(), np.repeat(error, layout.shape[1]), minlength=WIDTH).astype(np.int64)
+                sums[-1] += int(error.sum())
+                count += int(use.sum())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(-1, WIDTH + 1), pa.int32()), pa.array(np.r_[count, sums])], names=["at", "total"]
+        )
+
+    parts = rows.select("odds", "layout").mapInArrow(run, "at int, total long")
+    found = {r["at"]: r["total"] for r in parts.groupBy("at").agg(F.sum("total").alias("total")).collect()}
+    return found.get(-1, 0), np.array([found.get(i, 0) for i in range(WIDTH + 1)]) / GRAIN
+
+
+class _Labelled:
+    """The labelled sample on the driver, and the two views fitted to it and to sums over all documents."""
+
+    def __init__(self, found: pa.Table, label: np.ndarray, trust: float) -> None:
+        self.label, self.trust, self.model = label, trust, QualityModel()
+        lists = found.column("bucket").combine_chunks()
+        sizes = np.diff(lists.offsets.to_numpy())
+        # short numbers: these arrays are what the driver holds most of
+        self.cols = lists.flatten().to_numpy()
+        values = found.column("times").combine_chunks().flatten().to_numpy().astype(np.float32)
+        self.rows = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        values *= (SCALE / np.maximum(np.bincount(self.rows, values, minlength=len(sizes)), 1)).astype(np.float32)[self.rows]
+        self.values = values
+        stats = np.array(found.column("stats").to_pylist())
+        self.model.edges = np.quantile(stats, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T
+        self.layout = self.model.meta_columns(stats, found.column("source").to_pylist(), found.column("lang").to_pylist())
+        # every fourth labelled row is kept aside to calibrate and combine
+        self.aside = np.arange(len(label)) % 4 == 0
+        self.train = ~self.aside
+        if len(set(label[self.train].tolist())) < 2 or len(set(label[self.aside].tolist())) < 2:
+            self.aside = self.train = np.ones(len(label), bool)
+
+    def fit_content(self, pseudo: tuple[np.ndarray, np.ndarray] | None) -> None:
+        """Naive Bayes log-ratios of labelled and pseudo-labelled sums, and what labelled rows correct of them."""
+        inside = self.train[self.rows]
+        rows, cols, values = (a[inside] for a in (self.rows, self.cols, self.values))
+        good = self.label[rows] == 1
+        sums = np.stack([np.bincount(cols[at], values[at], minlength=1 << BITS) for at in (~good, good)])
+        if pseudo is not None and pseudo[0].sum():
+            sums += pseudo[1] * (SCALE * self.trust * self.train.sum() / pseudo[0].sum())
+        sums += 0.1
+        ratio = np.log(sums / sums.sum(1, keepdims=True))
+        ratio = ratio[1] - ratio[0]
+        # the log-ratios' score of a row is one more column beside its trigrams
+        n = len(self.label)
+        score = np.bincount(rows, values * ratio[cols], minlength=n)
+        scale = max(float(np.abs(score[self.train]).mean()), 1e-6)
+        weights, self.model.content_bias = fit_logistic(
+            np.concatenate([rows, np.flatnonzero(self.train).astype(np.int32)]),
+            np.concatenate([cols, np.full(self.train.sum(), 1 << BITS, cols.dtype)]),
+            np.concatenate([values, (score[self.train] / scale).astype(np.float32)]),
+            self.label,
+            self.train.astype(float),
+            (1 << BITS) + 1,
+            decay=0.3,
+        )
+        self.model.content = weights[:-1] + ratio * (weights[-1] / scale)
+
+    def fit_meta(self, gradient, decay: float = 0.3) -> None:
+        """Newton steps with the curvature of the labelled rows; `gradient` adds the sums over all documents."""
+        ones = np.zeros((self.train.sum(), WIDTH + 1))
+        ones[np.arange(len(ones))[:, None], self.layout[self.train]] = 1
+        ones[:, -1] = 1
+        keep = np.r_[np.full(WIDTH, decay), 1e-3]
+        for _ in range(GRADIENT_STEPS if gradient else 12):
+            weights = np.r_[self.model.meta, self.model.meta_bias]
+            p = sigmoid(ones @ weights)
+            slope = ones.T @ (p - self.label[self.train]) + keep * weights
+            curve = (ones * np.maximum(p * (1 - p), 1e-3)[:, None]).T @ ones
+            if gradient:
+                count, others = gradient(self.model)
+                if count:
+                    slope += others * (self.trust * self.train.sum() / count)
+                    curve *= 1 + self.trust
+            weights = weights - np.linalg.solve(curve + np.diag(keep), slope)
+            self.model.meta, self.model.meta_bias = weights[:-1], float(weights[-1])
+
+    def calibrated(self) -> QualityModel:
+        """The model, with each view's log-odds calibrated and both combined on the rows kept aside."""
+        model, aside = self.model, self.aside
+        content = np.bincount(self.rows, self.values * model.content[self.cols], minlength=len(self.label)) + model.content_bias
+        odds = [content, model.meta[self.layout].sum(1) + model.meta_bias]
+        y = self.label[aside]
+        one = np.arange(aside.sum())
+        views = []
+        for view in (0, 1):
+            x = odds[view][aside]
+            scale = max(float(np.abs(x).mean()), 1e-6)
+            w, bias = fit_logistic(one, np.zeros(len(one), np.int64), x / scale, y, np.ones(len(one)), 1, decay=0.01, rounds=400)
+            model.calibration[view] = max(w[0], 0) / scale, bias
+            views.append(np.clip(x * model.calibration[view, 0] + bias, -12, 12))
+        w, bias = fit_logistic(
+            np.tile(one, 2), np.repeat([0, 1], len(one)), np.concatenate(views), y, np.ones(len(one)), 2, decay=0.1, rounds=400
+        )
+        model.mixture = np.array([max(w[0], 0), max(w[1], 0), bias])
+        return model
 
 
 def score_quality(df: DataFrame, model: QualityModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -233,3 +233,67 @@ def test_quality_of_held_out_documents(spark, odd, labels):
     assert kept.schema == odd.schema and kept.count() == 7
     without = fit_quality(odd, labels.limit(0))
     assert {r["score"] for r in score_quality(odd, without).collect()} == {1.0} or keep_good(odd, without).count() == 7
+
+
+def test_quality_exchange_is_over_all_documents(spark):
+    """One round by hand: surest shares by score bins, trigram sums and gradients, row by row."""
+    import numpy as np
+
+    from bazaarlens.llm import quality_cotrain as q
+
+    rows = [(None if i % 50 == 7 else i, ("Good text number " if i % 3 else "#### 12 ") * (1 + i % 4) + str(i % 9), ["a", "b", None][i % 3], "en") for i in range(300)]
+    rows += [(1000, None, None, None), (1001, "", "a", None)] + [(1002, "same words here", "a", "en")] * 100
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(5)
+    random = np.random.default_rng(3)
+    model = q.QualityModel(content=random.normal(size=1 << q.BITS), meta=random.normal(size=q.WIDTH), meta_bias=0.1)
+    model.edges = np.sort(random.normal(size=model.edges.shape), axis=1)
+    texts, sources, langs = ([r[k] for r in rows] for k in (1, 2, 3))
+    texts = [t or "" for t in texts]
+    layout = model.meta_columns(q.statistics(texts), sources, langs)
+    odds = model.meta[layout].sum(1) + model.meta_bias
+
+    plain = q._one_pass(docs, model, None)
+    assert plain.count() == len(rows) and plain.where("bucket IS NOT NULL").count() == 0
+    low, high = sure = q._surest(q._meta_odds(plain, model), 0.4, 0.75)
+    # bins are 1/64 wide: the share is met, and by no more than the rows of one bin
+    assert (odds <= low).sum() >= 0.4 * 0.25 * len(rows) > (odds <= low - 1 / 64).sum()
+    assert (odds >= high).sum() >= 0.4 * 0.75 * len(rows) > (odds >= high + 1 / 64).sum()
+
+    passed = q._one_pass(docs, model, sure)
+    counts, sums = q._sums(passed)
+    bad, good = (odds <= low) & (odds < 0), (odds >= high) & (odds > 0)
+    assert counts.tolist() == [bad.sum(), good.sum()] and bad.any() and good.any()
+    for k, chosen in enumerate((bad, good)):
+        wanted = np.zeros(1 << q.BITS)
+        for text in np.array(texts, object)[chosen]:
+            _, bucket, sizes = q.trigrams([text])
+            assert len(bucket) == len(text)
+            for b in bucket.tolist():
+                wanted[b] += 1 / sizes[0]
+        assert np.allclose(sums[k], wanted, atol=1e-4)
+
+    content = np.array([r["odds"] for r in passed.where("layout IS NOT NULL").collect()])
+    assert len(content) == len(rows)
+    count, slope = q._gradient(passed.where("layout IS NOT NULL"), model, (-0.5, 0.5))
+    own = np.concatenate([np.bincount(o, model.content[b], minlength=1) * q.SCALE / z for o, b, z in (q.trigrams([t]) for t in texts)])
+    assert np.allclose(np.sort(content), np.sort(own), atol=1e-6)
+    use = (own <= -0.5) | (own >= 0.5)
+    wanted = np.zeros(q.WIDTH + 1)
+    for z, o, c in zip(layout[use], odds[use], own[use]):
+        error = 1 / (1 + np.exp(-o)) - (c > 0)
+        wanted[z] += error
+        wanted[-1] += error
+    assert count == use.sum() and np.allclose(slope, wanted, atol=1e-3)
+
+
+def test_quality_without_documents_or_unlabelled_rows(spark, labels):
+    from bazaarlens.llm import quality_cotrain as q
+
+    schema = "doc_id long, text string, source string, lang string"
+    none = spark.createDataFrame([], schema)
+    assert score_quality(none, fit_quality(none, labels)).count() == 0
+    assert q._surest(spark.createDataFrame([], "odds double"), 0.4, 0.5)[0] >= -q.SPAN
+    few = spark.createDataFrame([(i, "plain good words" if i % 2 else "!! ?? 11", "s", None) for i in range(40)], schema)
+    marks = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    model = fit_quality(few, marks)
+    assert all((r["score"] >= 0.5) == (r["doc_id"] % 2 == 1) for r in score_quality(few, model).collect())
