@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -333,6 +334,35 @@ def decide_stream(v: Inputs) -> DataFrame:
     return v.spark.read.parquet(f"{out}/decisions").select(*DECISION_COLUMNS)
 
 
+@query(
+    "decide_stream_cycles",
+    ["offers_v"],
+    f"""WITH {decide_sql(RAM)}, decided AS ({decision_select(RAM)}),
+turns AS (SELECT listing_id, row_number() OVER (ORDER BY l_partkey % 3, listing_id) - 1 AS n, CAST(ceil(count(*) OVER () / 5.0) AS BIGINT) AS cap FROM offers_v)
+SELECT d.*, CAST(n // cap AS INTEGER) AS cycle FROM decided d JOIN turns USING (listing_id)""",
+)
+def decide_stream_cycles(v: Inputs) -> DataFrame:
+    """Three runs over one checkpoint, each with new offers and all those of the run before again; a
+    cycle decides a fifth of all offers, the oldest first, and what waits in the end is drained."""
+    spark, out, offers = v.spark, work_folder(v.spark), v("offers_v")
+    rules = replace(RAM, max_total_items=-(-offers.count() // 5))
+    setting = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(setting)
+    # each run is one cycle, without another one for the state's sake
+    spark.conf.set(setting, "false")
+    try:
+        for run in range(3):
+            arrival = offers.where(F.expr(f"l_partkey % 3 IN ({run}, {run - 1})"))
+            arrival.write.mode("append").parquet(f"{out}/offers")
+            stream = jobs.first_sightings(jobs.read_new_files(spark, f"{out}/offers", offers.schema))
+            jobs.decide_stream(stream, rules, out, f"{out}/checkpoint").awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
+    jobs.drain(spark, rules, out)
+    decided = spark.read.parquet(f"{out}/decisions")
+    return decided.select(*DECISION_COLUMNS, (F.col("batch") + F.col("turn")).cast("int").alias("cycle"))
+
+
 @query(
     "stream_listing_upsert",
     [],

@@ -72,3 +72,64 @@ def test_dry_runs_write_nothing(spark, tmp_path):
     policy = jobs.WritePolicy.of(full_dry_run=True)
     assert not (policy.state or policy.decisions or policy.alerts)
     assert jobs.WritePolicy.of(quiet=True) == jobs.WritePolicy(True, True, False)
+
+
+OFFERS = "listing_id string, platform string, title string, description string, price double, image_url string"
+
+
+def _offers(spark, folder, ids):
+    rows = [(i, "EBAY", "DDR4 RAM 32gb", "", 50.0, None) for i in ids]
+    spark.createDataFrame(rows, OFFERS).repartition(3).write.mode("append").parquet(f"{folder}/in")
+    return jobs.first_sightings(jobs.read_new_files(spark, f"{folder}/in", spark.createDataFrame([], OFFERS).schema))
+
+
+def _by_turn(spark, folder):
+    by = {}
+    for r in spark.read.parquet(f"{folder}/out/decisions").select("batch", "turn", "listing_id").collect():
+        by.setdefault((r["batch"], r["turn"]), []).append(r["listing_id"])
+    return {k: sorted(ids) for k, ids in by.items()}
+
+
+def test_queue_is_fair_over_restarts_and_repeated_turns(spark, tmp_path):
+    from dataclasses import replace
+
+    folder, rules = str(tmp_path), replace(RAM, max_total_items=4)
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    try:
+        # the second run brings smaller ids and repeats, which must not go before the first run's rest
+        for ids in (["m%d" % i for i in range(6)], ["a1", "a2", "a3", "m1", "m5", "a1"], ["b1"]):
+            jobs.decide_stream(_offers(spark, folder, ids), rules, f"{folder}/out", f"{folder}/cp").awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+    want = {(0, 0): ["m0", "m1", "m2", "m3"], (1, 0): ["a1", "a2", "m4", "m5"], (2, 0): ["a3", "b1"]}
+    assert _by_turn(spark, folder) == want
+    assert jobs.waiting(spark, f"{folder}/out", 0).count() == 2
+    assert jobs.waiting(spark, f"{folder}/out", 1).count() == 1
+    # a turn that is run again after a failure finds its head and gives the same decisions
+    jobs._turn(spark, rules, f"{folder}/out", (1, 0), jobs.WritePolicy())
+    assert _by_turn(spark, folder) == want
+    assert jobs.drain(spark, rules, f"{folder}/out") == 0
+
+
+def test_drain_takes_turns_until_none_waits(spark, tmp_path):
+    from dataclasses import replace
+
+    folder, rules = str(tmp_path), replace(RAM, max_total_items=2)
+    stream = _offers(spark, folder, ["m%d" % i for i in range(7)]).sparkSession
+    plain = jobs.read_new_files(stream, f"{folder}/in", spark.createDataFrame([], OFFERS).schema)
+    jobs.decide_stream(plain, rules, f"{folder}/out", f"{folder}/cp").awaitTermination()
+    assert jobs.drain(spark, rules, f"{folder}/out", turns=1) == 1
+    assert sorted(r["listing_id"] for r in jobs.waiting(spark, f"{folder}/out", 0).collect()) == ["m4", "m5", "m6"]
+    assert jobs.drain(spark, rules, f"{folder}/out") == 2
+    assert _by_turn(spark, folder) == {(0, 0): ["m0", "m1"], (0, 1): ["m2", "m3"], (0, 2): ["m4", "m5"], (0, 3): ["m6"]}
+
+
+def test_full_dry_run_leaves_the_folder_empty(spark, tmp_path):
+    from dataclasses import replace
+
+    folder = str(tmp_path)
+    for cap in (0, 2):
+        stream = _offers(spark, folder, ["m1", "m2", "m3"])
+        policy = jobs.WritePolicy.of(full_dry_run=True)
+        jobs.decide_stream(stream, replace(RAM, max_total_items=cap), f"{folder}/out", f"{folder}/cp{cap}", policy).awaitTermination()
+    assert not os.path.exists(f"{folder}/out")
