@@ -72,14 +72,15 @@ def fit_toxicity(
     documents: DataFrame,
     labels: DataFrame,
     fit_rows: int = 6000,
-    least_share: float = 0.02,
+    least_texts: int = 5,
     least_ratio: float = 2.0,
     n_features: int = 20_000,
 ) -> ToxicityModel:
     """Fit on a bounded sample. n_features buckets with the largest ratios are kept.
 
-    A bucket must occur in least_share of the toxic or of the other texts, and its ratio must be
-    least_ratio away from 0: rare or undecided ones would let the model learn mislabelled texts by heart.
+    A bucket must occur in least_texts texts, and its ratio must be least_ratio away from 0. The count is
+    fixed, so a word of few toxic texts still weighs; what the sample says of it is smoothed by the ratio
+    (one text is added to each side) and held back by the penalty.
     """
     sample = stored(labelled_sample(documents, labels, "toxic", fit_rows).repartition(8, "doc_id"), "toxicity-sample")
     counts = T.StructType([T.StructField(c, T.LongType()) for c in ("bucket", "toxic", "other")])
@@ -107,7 +108,7 @@ def fit_toxicity(
         sample.mapInArrow(count, counts)
         .groupBy("bucket")
         .agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-        .where((F.col("toxic") >= least_share * n_toxic) | (F.col("other") >= least_share * n_other))
+        .where(F.col("toxic") + F.col("other") >= least_texts)
         .select("bucket", ratio.alias("ratio"))
         .where(F.abs("ratio") >= least_ratio)
         .orderBy(F.abs("ratio").desc(), "bucket")

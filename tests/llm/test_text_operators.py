@@ -117,6 +117,18 @@ def test_private_data_edges_and_redaction(spark, odd):
     assert pii_crf.find_private(odd.limit(0)).count() == 0
 
 
+def test_toxicity_weighs_words_of_few_texts(spark):
+    calm = ["the quiet river runs past the mill", "we walk to the market on sunday", "a letter came from the coast"]
+    rows = [(i, f"{calm[i % 3]} number {i} " + ("blorgface" if i % 200 == 0 else "vexwit" if i % 2 == 0 else "")) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(3000)], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(docs, marks)
+    # one toxic text in 100 holds the first word; its score must stand clear of that of a clean text
+    asked = spark.createDataFrame([(1, "you blorgface"), (2, "the quiet river")], "doc_id long, text string")
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(asked, model).collect()}
+    assert scores[1] > 0.5 > scores[2]
+
+
 def test_toxicity_finds_planted_words(spark, odd, labels):
     words = ["idiot scum", "trash loser"]
     rng = random.Random(1)
