@@ -22,7 +22,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -328,11 +328,11 @@ def host_of(url) -> F.Column:
     return F.nullif(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
-def host_paths(pages: DataFrame, most: int = 5, least_share: float = 0.1) -> DataFrame:
+def host_paths(pages: DataFrame, least_share: float = 0.1) -> DataFrame:
     """(host, paths): the winning paths of each host, from most to least votes.
 
-    A path wins with least_share of the votes of its host's pages; `most` is how many templates a
-    host may have. Votes are counted before they are shuffled, so a host with a third of all pages
+    A path wins with least_share of the votes of its host's pages, so a host has 1 / least_share
+    of them at most. Votes are counted before they are shuffled, so a host with a third of all pages
     costs no more than another.
     """
     schema = T.StructType([T.StructField("host", T.StringType()), T.StructField("path", T.LongType())])
@@ -350,15 +350,12 @@ def host_paths(pages: DataFrame, most: int = 5, least_share: float = 0.1) -> Dat
         .groupBy("host", "path")
         .agg(F.count(F.lit(1)).alias("votes"))
     )
-    order = Window.partitionBy("host").orderBy(F.desc("votes"), "path")
     total = votes.groupBy("host").agg(F.sum("votes").alias("total"))
     return (
-        votes.withColumn("nth", F.row_number().over(order))
-        .where(F.col("nth") <= most)
-        .join(total, "host")
+        votes.join(total, "host")
         .where(F.col("votes") >= least_share * F.col("total"))
         .groupBy("host")
-        .agg(F.sort_array(F.collect_list(F.struct("nth", "path"))).alias("ranked"))
+        .agg(F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("nth"), "path"))).alias("ranked"))
         .select("host", F.col("ranked.path").alias("paths"))
     )
 
