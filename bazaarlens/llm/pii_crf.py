@@ -195,7 +195,7 @@ SHAPES = str.maketrans({**{c: "9" for c in "0123456789"}})
 
 def shape(word: str) -> str:
     """Digits as 9, letters as a or A, runs of letters once, runs of digits by length up to 5."""
-    out = re.sub(r"[^\W\d_]+", lambda m: "A" if m[0].isupper() else "a", word[:64].translate(SHAPES))
+    out = re.sub(r"[^\W\d_]+", lambda m: "A" if m[0].isupper() else "a", word.translate(SHAPES))
     return re.sub(r"9{5,}", lambda m: f"9{{{min(len(m[0]) // 4 * 4, 20)}}}", out)
 
 
@@ -206,7 +206,7 @@ def features(chain: list[tuple[str, int, int]]) -> list[list[str]]:
     digits = ["".join(DIGIT.findall(w)) for w in words]
     total = sum(map(len, digits[1:-1]))
     whole = "".join(digits[1:-1]) if 13 <= total <= 19 else ""
-    lead = words[0].lower().strip(OPEN + CLOSE)[:24]
+    lead = words[0].lower().strip(OPEN + CLOSE)
     frame = [f"n={min(len(words) - 2, 8)}", f"digits={min(total, 20)}", f"before={lead}", f"sum={bool(whole) and luhn(whole)}"]
     out = []
     for k in range(1, len(words) - 1):
