@@ -22,7 +22,7 @@ and only windows that pass it are joined, exactly, with the items. Items that ar
 the one with the least item_id.
 
 Null texts are empty. Rows whose doc_id or item_id is null cannot be named and are left out of the
-result; of the rows of a repeated doc_id each is judged by its own text, and one leak is enough.
+result; of the rows of a repeated doc_id or item_id each is judged by its own text, and one leak is enough.
 """
 
 from __future__ import annotations
@@ -178,7 +178,8 @@ def windows(owner: np.ndarray, kind: np.ndarray, summed, width: int, least_words
     at = np.flatnonzero(good)
     total, power = summed
     value = (total[at + width] - total[at]) * power[at + width - 1]
-    return at, mix64(value + np.uint64(width + (reading << 32)) * np.uint64(0xD6E8FEB86659FD93))
+    salt = (width + (reading << 32)) * 0xD6E8FEB86659FD93 % (1 << 64)
+    return at, mix64(value + np.uint64(salt))
 
 
 WINDOW = T.StructType(
@@ -270,6 +271,7 @@ ALIGNED = T.StructType(
         T.StructField("doc_id", T.LongType()),
         T.StructField("text", T.LongType()),
         T.StructField("item_id", T.LongType()),
+        T.StructField("item_text", T.LongType()),
         T.StructField("reading", T.IntegerType()),
         T.StructField("places", T.ArrayType(T.LongType())),
     ]
@@ -310,7 +312,7 @@ def find_leaks(
     """(doc_id, item_id, matched, item_windows, run): one row for each document that leaks an item.
 
     matched: distinct windows of the item at consistent alignments, run: most at one alignment; both
-    are of the first reading in which a row of the document leaks the item, and of its row that matches most.
+    are of the first reading in which a row of the document leaks a text of the item, and of the rows that match most.
     """
     items = stored(item_windows(benchmark, width, least_words), "item-windows")
     word = F.shiftright(F.col("window").bitwiseAND((1 << FILTER_BITS) - 1), 6)
@@ -345,6 +347,7 @@ def find_leaks(
     mine = items.select(
         "window",
         F.col("id").alias("item_id"),
+        F.col("text").alias("item_text"),
         F.col("place").alias("item_place"),
         F.col("slot").alias("item_slot"),
         F.col("slots").alias("item_slots"),
@@ -352,17 +355,17 @@ def find_leaks(
     hits = passed.join(mine, "window").where(F.size("slots") == F.size("item_slots"))
     # an alignment holds at most one row for each window of the item
     aligned = (
-        hits.groupBy(F.col("id").alias("doc_id"), "text", "item_id", "reading", (F.col("place") - F.col("item_place")).alias("shift"))
+        hits.groupBy(F.col("id").alias("doc_id"), "text", "item_id", "item_text", "reading", (F.col("place") - F.col("item_place")).alias("shift"))
         .agg(F.collect_set(F.struct("item_place", "item_slot", "item_slots", "slots")).alias("found"))
         .mapInArrow(_agreeing, ALIGNED)
     )
-    totals = items.groupBy(F.col("id").alias("item_id"), "reading").agg(F.count(F.lit(1)).alias("item_windows"))
+    totals = items.groupBy(F.col("id").alias("item_id"), F.col("text").alias("item_text"), "reading").agg(F.count(F.lit(1)).alias("item_windows"))
     return (
         aligned.withColumn("run", F.size("places"))
         .withColumn("place", F.explode("places"))
-        .groupBy("doc_id", "text", "item_id", "reading")
+        .groupBy("doc_id", "text", "item_id", "item_text", "reading")
         .agg(F.countDistinct("place").alias("matched"), F.max("run").cast("long").alias("run"))
-        .join(totals, ["item_id", "reading"])
+        .join(totals, ["item_id", "item_text", "reading"])
         .where((F.col("matched") >= least_share * F.col("item_windows")) | (F.col("run") >= least_run))
         .groupBy("doc_id", "item_id")
         .agg(F.min(F.struct("reading", -F.col("matched"), "item_windows", -F.col("run"), "matched", "run")).alias("of"))

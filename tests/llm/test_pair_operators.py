@@ -251,6 +251,17 @@ def test_edited_slots_and_repeated_rows_keep_other_windows(spark):
     assert got == {(1, 1), (2, 2), (3, 2)}
 
 
+def test_each_text_of_a_repeated_item_is_found(spark):
+    short = "The lantern keeper writes seven letters before the storm arrives"
+    long = " ".join(f"{a} {b} walks slowly" for a in ("grey", "old", "calm", "kind", "shy") for b in ("fox", "owl", "hare"))
+    bench = spark.createDataFrame([(1, short), (1, long), (2, "Nothing here is like the others at all today")], "item_id long, text string")
+    docs = spark.createDataFrame([(7, f"Before. {short}. After."), (8, f"So {long} then"), (9, "A clean text")], "doc_id long, text string")
+    found = template_leaks.find_leaks(docs, bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(7, 1), (8, 1)}
+    # each by the windows of its own text
+    assert all(r["matched"] == r["item_windows"] for r in found)
+
+
 def test_leaks_of_the_given_tables(spark):
     folder = "/root/testdata/sf0.01"
 
