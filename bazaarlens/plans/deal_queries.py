@@ -385,3 +385,35 @@ def stream_listing_upsert(v: Inputs) -> DataFrame:
     return jobs.latest_snapshot(v.spark, out, jobs.last_batch(run)).select(
         "fingerprint", "first_seen", "last_seen", "seen_count"
     )
+
+
+@query(
+    "stream_listing_batches",
+    [],
+    """WITH s AS (SELECT *, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) || '#' || concat_ws('-', l_orderkey, l_linenumber, l_suppkey, CAST(l_quantity AS BIGINT)) AS moment FROM lineitem)
+SELECT CAST(l_partkey AS VARCHAR) AS fingerprint, CAST(min(l_shipdate) AS VARCHAR)[1:10] AS first_seen, CAST(max(l_shipdate) AS VARCHAR)[1:10] AS last_seen,
+  CAST(count(*) AS BIGINT) AS seen_count, arg_max(l_extendedprice, moment) AS price, arg_min(CAST(l_suppkey AS VARCHAR), moment) AS seller FROM s GROUP BY l_partkey""",
+)
+def stream_listing_batches(v: Inputs) -> DataFrame:
+    """Three runs over one checkpoint, sightings in any order of time; the last ones are of a tenth of the listings."""
+    out, rows = work_folder(v.spark), v("lineitem")
+    day = F.col("l_shipdate").cast("date").cast("string")
+    rows = rows.select(
+        F.col("l_partkey").cast("string").alias("fingerprint"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_suppkey", F.col("l_quantity").cast("long")).alias("sighting_id"),
+        day.alias("seen_at"),
+        F.col("l_extendedprice").alias("price"),
+        F.col("l_suppkey").cast("string").alias("seller"),
+        F.lit("EUR").alias("currency"),
+        F.lit("").alias("query"),
+        F.lit("run").alias("run_id"),
+        F.when((F.col("l_partkey") % 10 == 0) & (F.month("l_shipdate") < 5), 2).otherwise(F.dayofmonth("l_shipdate") % 2).alias("part"),
+    )
+    for part in range(3):
+        rows.where(F.col("part") == part).drop("part").write.mode("append").parquet(f"{out}/sightings")
+        stream = jobs.read_new_files(v.spark, f"{out}/sightings", rows.drop("part").schema)
+        run = jobs.snapshot_stream(stream, out, f"{out}/checkpoint")
+        run.awaitTermination()
+    return jobs.latest_snapshot(v.spark, out, jobs.last_batch(run)).select(
+        "fingerprint", "first_seen", "last_seen", "seen_count", "price", "seller"
+    )

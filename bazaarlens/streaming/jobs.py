@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from bazaarlens.operators import deals, upsert
 from bazaarlens.sources.rules import RuleConfig
+from bazaarlens.streaming import snapshots
 
 
 @dataclass(frozen=True)
@@ -226,21 +227,19 @@ def _write(chosen: DataFrame, config: RuleConfig, folder: str, at: tuple[int, in
         decisions.unpersist()
 
 
-def snapshot_stream(sightings: DataFrame, folder: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Listing snapshot per batch: the previous batch's snapshot with the new sightings on top.
+def snapshot_stream(
+    sightings: DataFrame, folder: str, checkpoint: str, every: str | None = None, buckets: int = 64
+) -> StreamingQuery:
+    """Listing snapshot: the new sightings of each batch merged into the hash buckets that they touch.
 
-    Snapshot n reads n - 1 and replaces n, so running a batch again gives the same table.
+    What a batch reads and writes grows with the buckets it touches, not with the table. Running
+    a batch again gives the same table.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = None
-        if batch_id > 0:
-            before = spark.read.parquet(f"{folder}/snapshot/batch={batch_id - 1}")
         rows = batch.persist()
         try:
-            merged = upsert.upsert_listings(before, rows)
-            merged.write.mode("overwrite").parquet(f"{folder}/snapshot/batch={batch_id}")
+            snapshots.merge_batch(rows, upsert.upsert_listings, "fingerprint", folder, batch_id, buckets)
             upsert.observations(rows).write.mode("overwrite").parquet(f"{folder}/observations/batch={batch_id}")
         finally:
             rows.unpersist()
@@ -249,7 +248,7 @@ def snapshot_stream(sightings: DataFrame, folder: str, checkpoint: str, every: s
 
 
 def latest_snapshot(spark: SparkSession, folder: str, batch_id: int) -> DataFrame:
-    return spark.read.parquet(f"{folder}/snapshot/batch={batch_id}")
+    return snapshots.read_snapshot(spark, folder, batch_id)
 
 
 def price_history(prices: DataFrame, keys: list[str], order: list[str], limit: int) -> DataFrame:

@@ -133,3 +133,47 @@ def test_full_dry_run_leaves_the_folder_empty(spark, tmp_path):
         policy = jobs.WritePolicy.of(full_dry_run=True)
         jobs.decide_stream(stream, replace(RAM, max_total_items=cap), f"{folder}/out", f"{folder}/cp{cap}", policy).awaitTermination()
     assert not os.path.exists(f"{folder}/out")
+
+
+def test_a_batch_rewrites_only_the_buckets_it_touches(spark, tmp_path):
+    from bazaarlens.streaming import snapshots
+
+    folder, schema = str(tmp_path), "fingerprint string, sighting_id string, seen_at string, title string, price double"
+    batches = [
+        [(f"f{i}", f"{i:03d}", "2024-03-01", f"t{i}", float(i)) for i in range(40)],
+        [("f1", "900", "2024-02-01", "older", 7.0), (None, "901", "2024-02-01", "no key", 1.0)],
+        [("f1", "902", "2024-04-01", "newer", 8.0)],
+        [],
+        [("f2", "903", "2024-04-01", "newer", 9.0)],
+    ]
+    tables = [spark.createDataFrame(b, schema) for b in batches]
+    # urls are known from the third batch on
+    tables[2] = tables[2].withColumn("url", F.lit("u"))
+    for n, rows in enumerate(tables):
+        # the second time as after a failure
+        for _ in range(2):
+            snapshots.merge_batch(rows, upsert.upsert_listings, "fingerprint", folder, n, buckets=16)
+        written = [d for d in os.listdir(f"{folder}/snapshot/batch={n}") if d.startswith("_bucket")]
+        assert len(written) <= len(batches[n])
+    everything = tables[0]
+    for t in tables[1:]:
+        everything = everything.unionByName(t, allowMissingColumns=True)
+    columns = ["fingerprint", "title", "price", "url", "seen_count", "first_seen", "last_seen"]
+    got = snapshots.read_snapshot(spark, folder, 4).select(*columns)
+    want = upsert.upsert_listings(None, everything).select(*columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 41
+    # versions that no kept manifest names are gone
+    named = set()
+    for n in (3, 4):
+        named |= {(r["version"], r["bucket"]) for r in spark.read.parquet(f"{folder}/manifest/batch={n}").collect()}
+    there = {(n, int(d[8:])) for n in range(5) for d in os.listdir(f"{folder}/snapshot/batch={n}") if d.startswith("_bucket=")}
+    assert there == named and sorted(os.listdir(f"{folder}/manifest")) == ["batch=3", "batch=4"]
+
+
+def test_snapshot_of_nothing(spark, tmp_path):
+    from bazaarlens.streaming import snapshots
+
+    rows = spark.createDataFrame([], "fingerprint string, sighting_id string, seen_at string, price double")
+    for n in range(3):
+        snapshots.merge_batch(rows, upsert.upsert_listings, "fingerprint", str(tmp_path), n)
+    assert snapshots.read_snapshot(spark, str(tmp_path), 2).count() == 0
