@@ -259,26 +259,32 @@ def bit_table(rows: DataFrame, number: Column, bits: int) -> Broadcast:
 def _sets_of(documents: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """wanted (set, text_key, ...) with tokens (sorted hashes as bytes), read again from the texts.
 
-    A table of bits, at most 2 MB, says which texts may be wanted; the join with wanted is exact.
+    A table of bits, at most 2 MB, says which texts may be wanted; the join with wanted is exact. A task hands on
+    each set once, so the copies of a hot text do not meet in one task of the join with all their tokens.
     """
     held = bit_table(wanted, F.col("text_key"), TABLE_BITS)
     schema = T.StructType([T.StructField("set", T.LongType()), T.StructField("tokens", T.BinaryType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = held.value
+        keys, names = set(), set()
         for batch in batches:
-            place = batch.column("place").to_numpy()
-            seen = (table[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1)
-            chosen = batch.take(pa.array(np.flatnonzero(seen)))
-            for _, texts in text_steps([chosen], "text", STEP):
+            key = batch.column("text_key").to_numpy()
+            place = key & ((1 << TABLE_BITS) - 1)
+            seen = (table[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
+            # equal texts have equal keys; the first of each key is read
+            fresh = [i for i, k in zip(np.flatnonzero(seen).tolist(), key[seen].tolist()) if not (k in keys or keys.add(k))]
+            for _, texts in text_steps([batch.take(pa.array(fresh, pa.int64()))], "text", STEP):
                 flat, offsets = shingle_sets(texts, n)
-                parts = [flat[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+                low = _low(_set_names(flat, offsets)).tolist()
+                once = [i for i, k in enumerate(low) if not (k in names or names.add(k))]
+                parts = [flat[offsets[i] : offsets[i + 1]].tobytes() for i in once]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(_low(_set_names(flat, offsets))), pa.array(parts, pa.binary())], names=schema.names
+                    [pa.array([low[i] for i in once], pa.int64()), pa.array(parts, pa.binary())], names=schema.names
                 )
 
     text = F.col("text").cast("string")
-    rows = documents.select(F.xxhash64(text).bitwiseAND((1 << TABLE_BITS) - 1).alias("place"), text.alias("text"))
+    rows = documents.select(F.xxhash64(text).alias("text_key"), text.alias("text"))
     return rows.mapInArrow(run, schema).join(wanted, "set").dropDuplicates(["set"])
 
 
