@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bazaarlens.functions.core import find_first, matches, non_empty, squeeze, text
+from bazaarlens.functions.core import barrier, find_first, matches, non_empty, squeeze, text
 from bazaarlens.functions.numbers import parse_price
 from bazaarlens.functions.specs import extract_specs
 from bazaarlens.functions.titles import NOISE_TEXT, clean_card_title, listing_quality
@@ -148,7 +148,7 @@ def jsonld_products(pages: DataFrame) -> DataFrame:
     kinds = F.transform(_as_array(kind), lambda k: F.lower(F.translate(k, '"', "")))
     wanted = F.arrays_overlap(kinds, F.array(F.lit("product"), F.lit("offer"), F.lit("listitem")))
     rows = objects.where(kind.isNotNull() & wanted).withColumn(
-        "p", F.when(F.get_json_object("o", "$.item").startswith("{"), F.get_json_object("o", "$.item")).otherwise(F.col("o"))
+        "p", barrier(F.when(F.get_json_object("o", "$.item").startswith("{"), F.get_json_object("o", "$.item")).otherwise(F.col("o")))
     )
     field = lambda *paths: F.coalesce(*[non_empty(F.get_json_object(c, f"$.{k}")) for c, k in paths])
     offers = F.coalesce(F.get_json_object("p", "$.offers"), F.get_json_object("o", "$.offers"))
@@ -160,7 +160,7 @@ def jsonld_products(pages: DataFrame) -> DataFrame:
         "base_url",
         # a million items of each kind keep their order
         (F.col("block").cast("long") * 10**12 + F.col("n").cast("long") * 10**6 + F.col("g")).alias("position"),
-        F.trim(field(("p", "name"), ("p", "title"), ("o", "name"))).alias("title"),
+        barrier(F.trim(field(("p", "name"), ("p", "title"), ("o", "name")))).alias("title"),
         F.translate(price, ",", ".").try_cast("double").alias("price"),
         text(F.get_json_object(offer, "$.priceCurrency")).alias("currency"),
         join_url(F.col("base_url"), field(("p", "url"), ("o", "url"))).alias("url"),
@@ -211,10 +211,10 @@ def listing_cards(pages: DataFrame, source: Column, max_items: int | None = None
     links = anchors(pages).where("href NOT LIKE '#%' AND lower(href) NOT LIKE 'javascript:%'")
     cards = links.withColumns(
         {
-            "title": clean_card_title(F.col("label"), F.col("url"), F.col("card")),
-            "offer": parse_price("card"),
+            "title": barrier(clean_card_title(F.col("label"), F.col("url"), F.col("card"))),
+            "offer": barrier(parse_price("card")),
         }
-    ).withColumn("quality", listing_quality(F.col("url"), F.col("title"), F.col("offer.value")))
+    ).withColumn("quality", barrier(listing_quality(F.col("url"), F.col("title"), F.col("offer.value"))))
     accepted = cards.where("quality.accept").select(
         "page_id",
         (F.col("position").cast("long") + 10**18).alias("position"),
@@ -233,7 +233,7 @@ def listing_cards(pages: DataFrame, source: Column, max_items: int | None = None
     rows = products.unionByName(accepted).withColumn("source", source)
     rows = rows.withColumn(
         "fingerprint",
-        listing_fingerprint(F.col("source"), F.lit(""), F.col("url"), F.col("title"), F.col("price"), F.lit("")),
+        barrier(listing_fingerprint(F.col("source"), F.lit(""), F.col("url"), F.col("title"), F.col("price"), F.lit(""))),
     )
     first = W.partitionBy("page_id", "fingerprint").orderBy("position")
     order = W.partitionBy("page_id").orderBy("position")
@@ -294,10 +294,10 @@ def category_links(pages: DataFrame, source: Column, max_links: int | None = Non
     ``max_links`` is the per-page limit of a crawl (the reference: 250), none by default.
     """
     links = anchors(pages).where("href NOT RLIKE '^(mailto:|tel:|javascript:|#)'").withColumn(
-        "url", normalize_category_url("url")
+        "url", barrier(normalize_category_url("url"))
     )
     own = links.where(same_site(F.col("url"), F.col("base_url"))).withColumn(
-        "label", _clean_label(F.col("label"), F.col("url"))
+        "label", barrier(_clean_label(F.col("label"), F.col("url")))
     )
     good = own.where(looks_like_category(F.col("url"), F.col("label"), F.substring("parent", 1, 220)))
     first = W.partitionBy("page_id", "url").orderBy("position")
@@ -332,15 +332,15 @@ def pagination_links(pages: DataFrame, max_pages: int = 0) -> DataFrame:
     """Later pages of the same list: same site, path and other parameters, greater number."""
     links = anchors(pages).withColumns(
         {
-            "base": normalize_category_url("base_url"),
-            "url": normalize_category_url("url"),
-            "label": F.lower(squeeze(F.col("label"))),
+            "base": barrier(normalize_category_url("base_url")),
+            "url": barrier(normalize_category_url("url")),
+            "label": barrier(F.lower(squeeze(F.col("label")))),
         }
     )
     path = lambda c: F.regexp_replace(url_path(c), "/+$", "")
     number = page_number(F.col("url"), F.col("label"))
     current = F.coalesce(page_number(F.col("base"), F.lit("")), F.lit(1))
-    later = links.withColumns({"page": number, "_now": current}).where(
+    later = links.withColumns({"page": barrier(number), "_now": barrier(current)}).where(
         same_site(F.col("url"), F.col("base"))
         & (F.col("url") != F.col("base"))
         & (F.col("page") > F.col("_now"))

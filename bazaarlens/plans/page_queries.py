@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazaarlens.functions.core import round_to
+from bazaarlens.functions.core import barrier, round_to
 from bazaarlens.operators import crawl, multilingual, pages, requests
+from bazaarlens.operators.distinct import once_per, spread
 from bazaarlens.plans.registry import Inputs, query
 from bazaarlens.plans.text_queries import NORM_KEEP
 from bazaarlens.rules import requests as request_rules
@@ -38,7 +39,7 @@ def with_json(sql: str) -> str:
 
 
 def _product_pages(v: Inputs) -> DataFrame:
-    return v.spark.sql(with_json(PRODUCT_PAGES), parts_v=v("parts_v"))
+    return v.spark.sql(with_json(PRODUCT_PAGES), parts_v=spread(v("parts_v")))
 
 
 @query(
@@ -325,7 +326,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY l_partkey, title ORDER BY score
 )
 def detect_taxonomy(v: Inputs) -> DataFrame:
     rows = v("listings_v").select("l_partkey", "title").distinct()
-    found = rows.withColumn("t", multilingual.detect_taxonomy("title"))
+    found = once_per(rows, ["title"], lambda titles: titles.withColumn("t", barrier(multilingual.detect_taxonomy("title"))))
     return found.where("t.canonical IS NOT NULL").select("l_partkey", "title", "t.canonical", "t.score")
 
 

@@ -1,0 +1,25 @@
+"""Work that rows share is done once, and plans do not multiply it."""
+
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from bazaarlens.operators import pages
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize(
+    ("build", "longest"),
+    [
+        (lambda p: pages.category_links(p, F.lit("shop")).select("page_id", "label", "url"), 15_000),
+        (lambda p: pages.pagination_links(p).select("page_id", "url", "page"), 12_000),
+        (lambda p: pages.listing_cards(p, F.lit("shop")).select("page_id", "title", "reason", "price"), 31_000),
+    ],
+)
+def test_page_rules_are_not_multiplied(spark, build, longest):
+    rows = spark.createDataFrame([(1, "https://a.example/", "<a href='/c/x'>Audio</a>")], "page_id long, url string, html string")
+    assert len(plan_of(build(rows))) < longest
