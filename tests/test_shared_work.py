@@ -5,7 +5,8 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from bazaarlens.operators import pages
+from bazaarlens.operators import multilingual, pages
+from bazaarlens.operators.distinct import once_per
 
 
 def plan_of(df) -> str:
@@ -23,3 +24,25 @@ def plan_of(df) -> str:
 def test_page_rules_are_not_multiplied(spark, build, longest):
     rows = spark.createDataFrame([(1, "https://a.example/", "<a href='/c/x'>Audio</a>")], "page_id long, url string, html string")
     assert len(plan_of(build(rows))) < longest
+
+
+def test_shared_inputs_are_worked_out_once(spark):
+    rows = spark.createDataFrame([(1, "a", None), (2, "a", None), (3, "b", None), (4, None, "b"), (5, "a", "")], "id int, t string, c string")
+    seen = []
+
+    def build(distinct):
+        seen.append(distinct.count())
+        return distinct.withColumns({"n": F.length("t"), "t": F.upper("t")})
+
+    got = {tuple(r) for r in once_per(rows, ["t", "c"], build).select("id", "t", "c", "n").collect()}
+    assert seen == [4]
+    assert got == {(1, "A", None, 1), (2, "A", None, 1), (3, "B", None, 1), (4, None, "b", None), (5, "A", "", 1)}
+
+
+def test_multilingual_rows_are_worked_out_once(spark):
+    """Language and class of equal listings: the plan has a distinct step under them."""
+    rows = spark.createDataFrame([(i, "scheda video", "gpu", "", "", "x") for i in range(3)],
+                                 "listing_id int, title string, category string, description string, resolved_title string, source string")
+    df = multilingual.normalize_multilingual(rows)
+    assert "Aggregate" in plan_of(df.select("listing_id", "category_canonical"))
+    assert {r["category_canonical"] for r in df.select("category_canonical").collect()} == {"technology_gpu"}
