@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from bazaarlens.operators import multilingual, pages
+from bazaarlens.operators import multilingual, pages, promotion
 from bazaarlens.operators.distinct import once_per
 
 
@@ -46,3 +46,10 @@ def test_multilingual_rows_are_worked_out_once(spark):
     df = multilingual.normalize_multilingual(rows)
     assert "Aggregate" in plan_of(df.select("listing_id", "category_canonical"))
     assert {r["category_canonical"] for r in df.select("category_canonical").collect()} == {"technology_gpu"}
+
+
+def test_equal_texts_are_analysed_once(spark):
+    rows = spark.createDataFrame([(i, "NVIDIA GeForce RTX 3070 8GB") for i in range(3)], "listing_id int, title string")
+    df = promotion.analyze_listing(rows, "title")
+    assert "Aggregate" in plan_of(df.select("listing_id", "a_category"))
+    assert [r["a_category"] for r in df.select("a_category").collect()] == ["technology_gpu"] * 3
