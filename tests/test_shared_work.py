@@ -50,6 +50,6 @@ def test_multilingual_rows_are_worked_out_once(spark):
 
 def test_equal_texts_are_analysed_once(spark):
     rows = spark.createDataFrame([(i, "NVIDIA GeForce RTX 3070 8GB") for i in range(3)], "listing_id int, title string")
-    df = promotion.analyze_listing(rows, "title")
+    df = promotion.analyze_shared(rows, "title")
     assert "Aggregate" in plan_of(df.select("listing_id", "a_category"))
     assert [r["a_category"] for r in df.select("a_category").collect()] == ["technology_gpu"] * 3
