@@ -258,7 +258,7 @@ def crawl_summary(
 
 
 def recent_checkpoints(checkpoints: DataFrame, runs: DataFrame, limit: int = 50) -> DataFrame:
-    """Newest checkpoints, or site runs when there is no checkpoint at all."""
+    """Newest checkpoints, or site runs when there is no checkpoint at all. Ties go by all other columns."""
     first = checkpoints.select(
         F.lit(0).alias("rank"), "source", "task_kind", "task_key", "status", "saved_count", "updated_at"
     )
@@ -271,7 +271,7 @@ def recent_checkpoints(checkpoints: DataFrame, runs: DataFrame, limit: int = 50)
         F.lit(0).cast("long").alias("saved_count"),
         F.coalesce("finished_at", "started_at").alias("updated_at"),
     )
-    newest = lambda df: df.orderBy(F.col("updated_at").desc(), "source", "task_key").limit(limit)
+    newest = lambda df: df.orderBy(F.col("updated_at").desc(), "source", "task_key", "status", "task_kind", "saved_count").limit(limit)
     both = newest(first).unionByName(newest(second))
     best = both.agg(F.min("rank").alias("rank"))
     return both.join(F.broadcast(best), "rank", "left_semi").drop("rank")

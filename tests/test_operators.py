@@ -315,3 +315,18 @@ def test_rule_index_equals_single_rule_sets(spark):
         assert {r.step for r in got.collect()} >= {"rules", "budget", "accept"}
     with pytest.raises(ValueError):
         rule_index.decide_many(df, [RAM, RAM])
+
+
+def test_ties_of_checkpoints_do_not_depend_on_partitions(spark):
+    """More ties at the limit than rows fit: the same rows stay, however the input is cut."""
+    from bazaarlens.operators import reviews
+
+    rows = [("shop", "site_category:a", ("running", "ok", "error")[i % 3], "2026-01-01", None, str(i)) for i in range(90)]
+    names = "source string, profile string, status string, started_at string, finished_at string, task_key string"
+    runs = spark.createDataFrame(rows, names)
+    none = runs.where("false").select(
+        "source", F.lit("").alias("task_kind"), "task_key", "status", F.lit(0).cast("long").alias("saved_count"), F.col("started_at").alias("updated_at")
+    )
+    for parts in (1, 3, 7):
+        got = reviews.recent_checkpoints(none, runs.repartition(parts), 50).groupBy("status").count().collect()
+        assert {r["status"]: r["count"] for r in got} == {"error": 30, "ok": 20}
