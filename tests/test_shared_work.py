@@ -53,3 +53,20 @@ def test_equal_texts_are_analysed_once(spark):
     df = promotion.analyze_shared(rows, "title")
     assert "Aggregate" in plan_of(df.select("listing_id", "a_category"))
     assert [r["a_category"] for r in df.select("a_category").collect()] == ["technology_gpu"] * 3
+
+
+def test_titles_are_written_once_per_part(spark):
+    """Sightings meet their part's title: the long text is below the join with the sightings, and rows stay the same."""
+    from bazaarlens.plans.fixtures import TABLES, VIEWS
+    from bazaarlens.plans.registry import Inputs
+
+    folder = "/root/testdata/sf0.001"
+    got = Inputs(spark, folder)("listings_v")
+    plan = plan_of(got)
+    assert plan.index("Pochi rimasti") > plan.index("Join")
+    tables = {t: spark.read.parquet(f"{folder}/{t}.parquet") for t in TABLES}
+    tables["parts_v"] = spark.sql(VIEWS["parts_v"][1], part=tables["part"])
+    needs, sql = VIEWS["listings_v"]
+    want = spark.sql(sql, **{n: tables[n] for n in needs})
+    assert got.columns == want.columns
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
