@@ -70,3 +70,20 @@ def test_titles_are_written_once_per_part(spark):
     want = spark.sql(sql, **{n: tables[n] for n in needs})
     assert got.columns == want.columns
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_texts_with_other_codes_are_scored_as_one_class(spark):
+    """Codes that only terms of one word have do not multiply the work; words of longer terms, and where they stand, do."""
+    from bazaarlens.operators import resolver
+
+    names = ["red widget", "red widget 12", "111111", "222222"]
+    index = spark.createDataFrame([(n, sorted(n.split())) for n in names], "term_norm string, tokens array<string>")
+    texts = [("a red widget", f"size 12 code {c}") for c in ("111111", "222222", "333333")]
+    texts += [("red big widget", "size 12 code 1"), ("red widget", "size 12 code 1"), ("red widget", "size 13 code 1")]
+    frame = spark.createDataFrame([(str(i), *t) for i, t in enumerate(texts)], "text_id string, title string, description string")
+    members, classes = resolver.text_classes(resolver._sides(frame), index)
+    of = {r["text_id"]: r["class_id"] for r in members.collect()}
+    assert of["0"] == of["1"] == of["2"] and len({of[str(i)] for i in (0, 3, 4, 5)}) == 4 and classes.count() == 4
+    got = {(r["text_id"], r["term_norm"], r["exact_title"], r["exact_desc"]) for r in resolver.candidate_terms(frame, index).collect()}
+    assert ("0", "111111", False, True) in got and ("1", "222222", False, True) in got and ("2", "red widget", True, False) in got
+    assert ("3", "red widget", False, False) in got
