@@ -27,7 +27,7 @@ from __future__ import annotations
 import math
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -48,6 +48,8 @@ WORDS_KEPT = 150_000
 STEP = 1_000_000
 #: Most bits of the table that tells which texts to read again; its size never exceeds 2 MB.
 TABLE_BITS = 24
+#: Parts in which segments are counted, so many times fewer of them are in a task's memory at once.
+SLICES = 8
 #: Columns of a token matrix held at once.
 COLUMNS = 20_000
 
@@ -430,14 +432,18 @@ def jaccard_components(documents: DataFrame, n: int = 3, percent: int = 90) -> D
     filled = rows.where("size > 0")
     # segments that two different sets share; 48 bits of each set are enough to tell them apart
     part = F.shiftright("set", 16).alias("part")
-    shared = stored(
-        filled.select(part, F.explode("signatures").alias("signature"))
+    # nearly all segments are of one set, so counting them shrinks nothing before the shuffle: a task
+    # counts a slice of them at a time, or its table of them would fill the executor
+    spots = filled.select(part, F.explode("signatures").alias("signature"))
+    slices = [
+        spots.where(F.pmod("signature", F.lit(SLICES)) == at)
         .groupBy("signature")
         .agg(F.min("part").alias("low"), F.max("part").alias("high"))
         .where("low <> high")
-        .select("signature"),
-        "shared-segments",
-    )
+        .select("signature")
+        for at in range(SLICES)
+    ]
+    shared = stored(reduce(DataFrame.union, slices), "shared-segments")
     wide = min(TABLE_BITS + 3, max(12, int(shared.count()).bit_length() + 4))
     cells = _cells_in(filled, bit_table(shared, F.col("signature"), wide))
     cells = stored(cells.join(shared, "signature").distinct(), "shared-cells")
