@@ -87,3 +87,24 @@ def test_texts_with_other_codes_are_scored_as_one_class(spark):
     got = {(r["text_id"], r["term_norm"], r["exact_title"], r["exact_desc"]) for r in resolver.candidate_terms(frame, index).collect()}
     assert ("0", "111111", False, True) in got and ("1", "222222", False, True) in got and ("2", "red widget", True, False) in got
     assert ("3", "red widget", False, False) in got
+
+
+def test_listings_are_prepared_once_for_verification(spark):
+    """Titles are worked out in a distinct step, and each side is read once: one join by title, one by listing."""
+    from bazaarlens.operators import evidence
+
+    listings = spark.createDataFrame(
+        [(i, t, f"https://a.it/item/{i}", "gpu", "", "", "") for i, t in ((1, "RTX 3070 Ti"), (1, "RTX 3070 Ti"), (2, "RTX 3070 Ti"), (None, "sedia vendo"))],
+        "listing_id int, title string, url string, category string, clean_decision string, clean_title string, clean_category string",
+    )
+    results = spark.createDataFrame(
+        [(1, 1, "rtx 3070 ti nuova", "https://b.it", ""), (1, 2, "altro", None, None)],
+        "listing_id int, position int, title string, url string, snippet string",
+    )
+    df = evidence.verify_listings(listings, results)
+    plan = plan_of(df)
+    assert plan.count("Join") == 2 and "Aggregate [_once" in plan
+    got = sorted(tuple(r) for r in df.select(F.coalesce("listing_id", F.lit(0)), "status", "n_results", "canonical_category").collect())
+    assert got == [
+        (0, "rejected", 0, "technology_gpu"), (1, "verified", 2, "technology_gpu"), (1, "verified", 2, "technology_gpu"), (2, "rejected", 0, "technology_gpu"),
+    ]
