@@ -108,3 +108,22 @@ def test_listings_are_prepared_once_for_verification(spark):
     assert got == [
         (0, "rejected", 0, "technology_gpu"), (1, "verified", 2, "technology_gpu"), (1, "verified", 2, "technology_gpu"), (2, "rejected", 0, "technology_gpu"),
     ]
+
+
+def test_terms_are_looked_for_once_per_text(spark):
+    """Rules read distinct texts in both forms, offers meet what they found in one join, and decisions agree."""
+    from bazaarlens.operators import deals, rule_index
+    from bazaarlens.plans.deal_queries import RAM, WIDGETS
+
+    texts = [("2x32GB Corsair DDR4 RAM", "memoria"), ("red widget", None), (None, "bolt"), (None, None), ("", "bolt")]
+    rows = [(f"{i}-{k}", "EBAY", t, d, 90.0 + k, None) for i, (t, d) in enumerate(texts) for k in range(2)]
+    offers = spark.createDataFrame(rows, "listing_id string, platform string, title string, description string, price double, image_url string")
+    one = [deals.decide_listings(offers, c) for c in (RAM, WIDGETS)]
+    many = rule_index.decide_many(offers, [RAM, WIDGETS])
+    assert all("Aggregate [_once" in plan_of(d) for d in one)
+    # offers are multiplied by rule sets only as they meet their text's findings
+    assert "Generate explode([ram_ddr4" not in plan_of(many)
+    told = lambda d: {(r["rules"], r["listing_id"]): (r["status"], r["step"], r["score"], r["config"], r["budget"], r["reason"]) for r in d.collect()}
+    got = told(one[0]) | told(one[1])
+    assert got == told(many) and len(got) == 2 * len(rows)
+    assert got["ram_ddr4", "0-0"][:3] == ("ACCEPT", "accept", 88) and got["widgets", "3-0"][1] == "rules"
