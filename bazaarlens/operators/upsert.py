@@ -35,38 +35,65 @@ def _merged(
     rows without it count as set when first or last seen. Columns that only one side has are kept.
     """
     newest = dict(newest)
+    named = [*keep, *fill, *newest]
+    sent = [c for c in named if c in incoming.columns]
     own = _at("seen_at", F.col(row_id).cast("string"))
     rows = incoming.withColumns({"first_seen": F.col("seen_at"), "last_seen": F.col("seen_at"), "_own": own})
-    rows = rows.withColumns({f"_at_{c}": F.col("_own") for c in [*keep, *fill, *newest] if c in rows.columns}).drop("_own")
     if current is not None:
         blank = F.lit("")
         stored = {}
-        for c in [*keep, *fill, *newest]:
+        for c in named:
             if c in current.columns:
                 default = _at("last_seen" if c in newest else "first_seen", blank)
                 known = "set_at" in current.columns and c in current.schema["set_at"].dataType.names
                 stored[f"_at_{c}"] = F.coalesce(F.col("set_at")[c], default) if known else default
         rows = current.withColumns(stored).drop("set_at").unionByName(rows, allowMissingColumns=True)
     there = rows.columns
-
-    def pick(c: str, ok: Column, last: bool) -> tuple[Column, Column]:
-        by, bound = (F.max_by, F.max) if last else (F.min_by, F.min)
-        time = F.when(ok, F.col(f"_at_{c}"))
-        return by(F.when(ok, F.col(c)), time).alias(c), bound(time).alias(c)
-
-    picked = [pick(c, F.col(f"_at_{c}").isNotNull(), False) for c in keep if c in there]
-    picked += [pick(c, F.col(c).isNotNull(), False) for c in fill if c in there]
-    for c, empty in newest.items():
-        if c in there:
-            ok = F.col(c).isNotNull() if empty is None else F.col(c).isNotNull() & (F.col(c) != empty)
-            picked.append(pick(c, ok, True))
-    times = [t for _, t in picked]
-    return rows.groupBy(*keys).agg(
-        *[v for v, _ in picked],
-        *totals,
-        F.min("first_seen").alias("first_seen"),
-        F.max("last_seen").alias("last_seen"),
-        *([F.struct(*times).alias("set_at")] if times else []),
+    firsts, lasts = ([c for c in group if c in there] for group in ([*keep, *fill], newest))
+
+    def at(c: str) -> Column:
+        return F.coalesce(*[F.col(t) for t, own in ((f"_at_{c}", f"_at_{c}" in there), ("_own", c in sent)) if own])
+
+    def ok(c: str) -> Column:
+        if c in keep:
+            return at(c).isNotNull()
+        empty = newest.get(c)
+        return F.col(c).isNotNull() if empty is None else F.col(c).isNotNull() & (F.col(c) != empty)
+
+    def picked(columns: list[str], last: bool) -> tuple[list[Column], dict[str, Column]]:
+        """Aggregates, and of these the (at, v) of each column. Incoming rows that lack none of the values
+        go as one, so their time is carried once and not with each value."""
+        bound, choose, name = (F.max, F.greatest, "_last") if last else (F.min, F.least, "_first")
+        together = [c for c in columns if c in sent]
+        whole = F.lit(False)
+        found, parts = [], {c: [] for c in columns}
+        if len(together) > 1:
+            whole = F.col("_own").isNotNull()
+            for c in together:
+                whole = whole & ok(c)
+            found.append(bound(F.when(whole, F.struct("_own", *together))).alias(name))
+            for c in together:
+                pair = F.struct(F.col(f"{name}._own").alias("at"), F.col(f"{name}.{c}").alias("v"))
+                parts[c].append(F.when(F.col(name).isNotNull(), pair))
+        for c in columns:
+            single = F.when(~whole & ok(c), F.struct(at(c).alias("at"), F.col(c).alias("v")))
+            found.append(bound(single).alias(f"_one_{c}"))
+            parts[c].append(F.col(f"_one_{c}"))
+        return found, {c: choose(*p) if len(p) > 1 else p[0] for c, p in parts.items()}
+
+    found, chosen = picked(firsts, False)
+    found_last, chosen_last = picked(lasts, True)
+    chosen |= chosen_last
+    merged = rows.groupBy(*keys).agg(
+        *found, *found_last, *totals, F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")
+    )
+    inner = [f"_one_{c}" for c in chosen] + ["_first", "_last"]
+    others = [c for c in merged.columns if c not in keys and c not in inner]
+    return merged.select(
+        *keys,
+        *[v["v"].alias(c) for c, v in chosen.items()],
+        *others,
+        *([F.struct(*[v["at"].alias(c) for c, v in chosen.items()]).alias("set_at")] if chosen else []),
     )
 
 

@@ -127,3 +127,22 @@ def test_terms_are_looked_for_once_per_text(spark):
     got = told(one[0]) | told(one[1])
     assert got == told(many) and len(got) == 2 * len(rows)
     assert got["ram_ddr4", "0-0"][:3] == ("ACCEPT", "accept", 88) and got["widgets", "3-0"][1] == "rules"
+
+
+def test_upserts_carry_the_time_of_a_row_once(spark):
+    """Rows that lack no value are picked as one; a value that the first row lacks still comes from the next that has it."""
+    from bazaarlens.operators import upsert
+
+    names = "alias string, source string, family_key string, variant_key string, confidence double, seen_at string, row_id string"
+    rows = [("A b", "s", None, "v1", 0.5, "2020-01-02", "r2"), ("a  B", "s", "f2", "v2", 0.9, "2020-01-03", "r3"), ("a-b", "s", None, None, 0.1, "2020-01-01", "r1"),
+            ("a_b", "s", "f9", "v9", 0.2, "2020-01-09", "r9"), ("c d", "s", "f1", "v1", 0.2, "2020-01-01", "r1")]
+    frame = spark.createDataFrame(rows, names)
+    at_once = upsert.upsert_aliases(None, frame)
+    plan = plan_of(at_once)
+    assert "min_by(" not in plan and "_own" in plan
+    later_first = upsert.upsert_aliases(upsert.upsert_aliases(None, frame.where("seen_at > '2020-01-02'")), frame.where("seen_at <= '2020-01-02'"))
+    for df in (at_once, later_first):
+        assert df.columns == ["alias_norm", "source", "alias", "family_key", "variant_key", "confidence", "first_seen", "last_seen", "set_at"]
+        got = {r["alias_norm"]: r for r in df.collect()}
+        assert tuple(got["a b"])[2:8] == ("a-b", "f2", "v1", 0.9, "2020-01-01", "2020-01-09")
+        assert got["a b"]["set_at"].asDict()["family_key"] == ("2020-01-03", "r3") and tuple(got["c d"])[2:5] == ("c d", "f1", "v1")
