@@ -181,14 +181,12 @@ def test_snapshot_of_nothing(spark, tmp_path):
 
 def test_alerts_come_from_the_decisions_written(spark, tmp_path, monkeypatch):
     """A cycle holds no decisions in memory: they are written once, and alerts and prices are read from there."""
-    from pyspark.sql import DataFrame
-
     held = []
-    monkeypatch.setattr(DataFrame, "persist", lambda self, *a, **k: held.append(self) or self)
     offers = spark.createDataFrame(
         [("a", "EBAY", "2x32GB Corsair DDR4 RAM", "memoria", 90.0, None), ("b", "EBAY", "sedia", "", 9.0, None)],
         "listing_id string, platform string, title string, description string, price double, image_url string",
     )
+    monkeypatch.setattr(type(offers), "persist", lambda self, *a, **k: held.append(self) or self)
     read = {}
     for name, policy in (("all", jobs.WritePolicy()), ("silent", jobs.WritePolicy(decisions=False))):
         jobs._write(offers, RAM, f"{tmp_path}/{name}", (0, 0), policy)
