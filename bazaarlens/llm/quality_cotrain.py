@@ -35,10 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bazaarlens.llm.common import code_points, stored, text_steps
+from bazaarlens.llm.common import code_points, stored
+from bazaarlens.llm.common import text_steps as steps_of
 from bazaarlens.llm.linear import fit_logistic, sigmoid
 from bazaarlens.llm.toxicity import labelled_sample
 
+#: Characters that a task describes at once. Trigrams take some 40 bytes a character while they are made.
+STEP_CHARS = 500_000
 BITS = 15
 SCALE = 300.0
 STATS = ("chars", "lines", "line_chars", "upper", "marks", "digits", "other", "fresh_words", "fresh_lines", "word_chars", "echoes")
@@ -49,6 +52,10 @@ WIDTH = len(STATS) * BINS + SOURCES + LANGS
 _KINDS: np.ndarray | None = None
 
 
+def text_steps(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    return steps_of(batches, column, STEP_CHARS)
+
+
 def kind_table() -> np.ndarray:
     """For each code point: 0 white space, 1 lower, 2 upper, 3 digit, 4 mark (ASCII), 5 other."""
     global _KINDS

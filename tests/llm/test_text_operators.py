@@ -309,3 +309,27 @@ def test_quality_without_documents_or_unlabelled_rows(spark, labels):
     marks = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
     model = fit_quality(few, marks)
     assert all((r["score"] >= 0.5) == (r["doc_id"] % 2 == 1) for r in score_quality(few, model).collect())
+
+
+def test_quality_describes_little_text_at_once():
+    """A task's arrays do not hold all texts of a batch; what it finds is the same whatever the steps are."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from bazaarlens.llm import quality_cotrain
+
+    texts = [f"line {i} of text {i % 7}\n" * 400 for i in range(400)]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    model = quality_cotrain.QualityModel()
+    model.content = np.arange(1 << quality_cotrain.BITS) / 1e5
+    whole = model.scores(texts, [None] * len(texts), [None] * len(texts))
+    found = []
+    tracemalloc.start()
+    for rows, part in quality_cotrain.text_steps([batch], "text"):
+        found.append(model.scores(part, [None] * len(part), [None] * len(part)))
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert len(found) > 4 and (np.concatenate(found) == whole).all()
+    assert peak < 60, peak
