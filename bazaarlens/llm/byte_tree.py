@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from bazaarlens.llm.common import steps, text_steps
+from bazaarlens.llm.common import steps, task_of, text_steps
 
 NO_PAIR = np.int32(2**31 - 1)
 #: Bytes of a leaf, and tokens on each side of a join that are looked at first.
@@ -267,6 +267,7 @@ def encode_bytes(df: DataFrame, model_path: str, text: str = "text", keep: tuple
     )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_of("bytes", load_model.cache_clear)
         model = load_model(model_path)
         for rows, texts in text_steps(batches, "__text", BATCH_CHARS):
             ids, offsets = model.encode_batch(texts)

@@ -4,15 +4,44 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters that one step inside a task holds at once. A longer single text is a step of its own.
 STEP_CHARS = 2_000_000
+#: Rows of one Arrow batch where stages share their workers; the JVM and a worker hold two batches at times.
+BATCH_ROWS = 2_000
+
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def task_of(operator: str, forget: Callable[[], None] | None = None) -> None:
+    """A task of `operator` begins in this worker: what other operators remember in it is dropped.
+
+    Spark hands a Python worker on from stage to stage. Words and models serve the next task of the same operator; those of
+    all operators of a pipeline would add up. `forget` drops what `operator` itself remembers.
+    """
+    others = [o for o in _HELD if o != operator]
+    for other in others:
+        _HELD.pop(other)()
+    if others:
+        pa.default_memory_pool().release_unused()
+    if forget is not None:
+        _HELD[operator] = forget
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS rows at most, for this session."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(spark.conf.get(name))
+    # zero and less: no limit
+    if not 0 < rows <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -80,10 +109,10 @@ def text_steps(
 ) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of the batches, of about `most` characters, with their texts; a null text is empty."""
     for batch in batches:
-        texts = [t or "" for t in batch.column(column).to_pylist()]
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        sizes = pc.utf8_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
         for a, b in steps(sizes, most):
-            yield batch.slice(a, b - a), texts[a:b]
+            rows = batch.slice(a, b - a)
+            yield rows, [t or "" for t in rows.column(column).to_pylist()]
 
 
 def code_points(text: str) -> np.ndarray:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from bazaarlens.llm.common import code_points, text_steps
+from bazaarlens.llm.common import code_points, task_of, text_steps
 
 SPACE = "▁"
 NO_PAIR = np.int32(2**31 - 1)
@@ -33,7 +33,7 @@ NO_PAIR = np.int32(2**31 - 1)
 FOREIGN = 1 << 24
 #: Words that a worker remembers between batches, and characters of texts it takes at once.
 WORDS_KEPT = 250_000
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_000_000
 WORDS = re.compile(" +[^ ]*")
 
 
@@ -278,6 +278,7 @@ def encode_pieces(df: DataFrame, model_path: str, text: str = "text", keep: tupl
     )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_of("pieces", load_model.cache_clear)
         model = load_model(model_path)
         for rows, texts in text_steps(batches, "__text", BATCH_CHARS):
             ids, offsets, decoded = model.encode_batch(texts)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from bazaarlens.llm.common import text_steps
+from bazaarlens.llm.common import task_of, text_steps
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = ("O",) + tuple(f"{p}-{k}" for k in KINDS for p in "BI")
@@ -442,6 +442,7 @@ def find_private(
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_of("private")
         for rows, texts in text_steps(batches, "__text"):
             found = list(all_spans(texts, field))
             lists = [
@@ -465,6 +466,7 @@ def redact(df: DataFrame, labelled: Iterable[str] = LABELLED) -> DataFrame:
     chars = schema.names.index("n_chars") if "n_chars" in schema.names else None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_of("private")
         for rows, texts in text_steps(batches, "text"):
             new, sizes = rows.column(at).to_pylist(), None
             if chars is not None:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bazaarlens.llm.common import code_points, stored
+from bazaarlens.llm.common import code_points, stored, task_of
 from bazaarlens.llm.common import text_steps as steps_of
 from bazaarlens.llm.linear import fit_logistic, sigmoid
 from bazaarlens.llm.toxicity import labelled_sample
@@ -53,6 +53,7 @@ _KINDS: np.ndarray | None = None
 
 
 def text_steps(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    task_of("quality")
     return steps_of(batches, column, STEP_CHARS)
 
 

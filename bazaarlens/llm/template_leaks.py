@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bazaarlens.llm.common import mix64, stored, text_steps
+from bazaarlens.llm.common import mix64, stored, task_of, text_steps
 
 WIDTH = 8
 LEAST_TOKENS = 5
@@ -168,6 +168,12 @@ def sums(template: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return total, _POWERS[0]
 
 
+def forget() -> None:
+    """Drop what a worker remembers of the texts it has read."""
+    _TOKENS.clear()
+    _POWERS[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
 def windows(owner: np.ndarray, kind: np.ndarray, summed, width: int, least_words: int, reading: int):
     """Starts and hashes of the windows of one width and reading that hold enough literal words."""
     m = len(owner) - width + 1
@@ -237,6 +243,7 @@ def item_windows(benchmark: DataFrame, width: int = WIDTH, least_words: int = 4)
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, size))], names=schema.names)
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_of("leaks", forget)
         for rows, texts in text_steps(batches, "text"):
             words = words_of(texts)
             literal, missed = None, np.ones(len(texts), bool)
@@ -325,6 +332,7 @@ def find_leaks(
     held = documents.sparkSession.sparkContext.broadcast((table, shapes))
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_of("leaks", forget)
         table, shapes = held.value
         for rows, texts in text_steps(batches, "__text"):
             words = words_of(texts)

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bazaarlens.llm.common import mix64, stored, text_steps
+from bazaarlens.llm.common import mix64, stored, task_of, text_steps
 from bazaarlens.llm.components import components
 
 #: Members of a group, on average at most, and visitors that one task compares with a group.
@@ -59,6 +59,10 @@ class Words(dict):
 
     def __init__(self):
         super().__init__()
+        self.clear()
+
+    def clear(self) -> None:
+        super().clear()
         self.hashes = np.zeros(0, np.uint64)
         self.fresh: list[bytes] = []
 
@@ -70,7 +74,6 @@ class Words(dict):
     def hash(self, words: list[list[bytes]]) -> np.ndarray:
         if len(self) > WORDS_KEPT:
             self.clear()
-            self.hashes = np.zeros(0, np.uint64)
         index = np.fromiter((i for w in words for i in map(self.__getitem__, w)), np.int32, sum(map(len, words)))
         if self.fresh:
             new = np.fromiter(map(xxhash.xxh64_intdigest, self.fresh), np.uint64, len(self.fresh))
@@ -82,6 +85,10 @@ class Words(dict):
 _WORDS = Words()
 
 
+def _forget() -> None:
+    _WORDS.clear()
+
+
 def shingle_sets(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
     """Flat sorted shingle hashes of all texts and the offsets of each text."""
     split = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
@@ -197,6 +204,7 @@ def _described(documents: DataFrame, n: int, percent: int) -> DataFrame:
     row, and the signatures of its segments (48 bits) with their levels and needs."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_of("shingles", _forget)
         for rows, texts in text_steps(batches, "text", STEP):
             flat, offsets = shingle_sets(texts, n)
             signature, owner, level, need = segment_signatures(flat, offsets, percent)
@@ -268,6 +276,7 @@ def _sets_of(documents: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     schema = T.StructType([T.StructField("set", T.LongType()), T.StructField("tokens", T.BinaryType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_of("shingles", _forget)
         table = held.value
         keys, names = set(), set()
         for batch in batches:

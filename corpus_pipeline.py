@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarlens.llm.common import stored
+from bazaarlens.llm.common import small_batches, stored
 from bazaarlens.llm.pii_crf import redact
 from bazaarlens.llm.piece_codec import encode_pieces
 from bazaarlens.llm.quality_cotrain import fit_quality, keep_good
@@ -20,6 +20,7 @@ from bazaarlens.llm.token_groups import jaccard_components
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier gives 0.5 or more."""
+    small_batches(spark)
     return keep_good(docs, fit_quality(docs, table(spark, sf_dir, "labels")), 0.5)
 
 
@@ -30,6 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     its rows is a copy of a document with a smaller doc_id, all go. Rows that repeat both doc_id and
     text are one row.
     """
+    small_batches(spark)
     found = jaccard_components(docs, n=5, percent=80)
     gone = stored(
         found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "duplicates"
@@ -42,6 +44,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak no benchmark item."""
+    small_batches(spark)
     leaks = find_leaks(docs, table(spark, sf_dir, "benchmark"))
     gone = stored(leaks.select("doc_id").distinct(), "leaking")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
@@ -49,11 +52,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by the name of its kind."""
+    small_batches(spark)
     return redact(docs)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and decoded text of all documents."""
+    small_batches(spark)
     encoded = encode_pieces(docs, piece_model_path())
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 

@@ -333,3 +333,79 @@ def test_quality_describes_little_text_at_once():
     tracemalloc.stop()
     assert len(found) > 4 and (np.concatenate(found) == whole).all()
     assert peak < 60, peak
+
+
+def worker_of(monkeypatch, make):
+    """The function that Spark would hand to its workers."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    with monkeypatch.context() as m:
+        m.setattr(DataFrame, "mapInArrow", lambda self, f, *a, **k: f)
+        return make()
+
+
+def test_workers_forget_what_another_operator_remembers(spark, monkeypatch):
+    """One worker runs a pipeline's stages in turn: words and models of one stage do not stay in the next."""
+    import pyarrow as pa
+
+    from bazaarlens.llm import quality_cotrain, token_groups
+
+    docs = spark.createDataFrame([(1, "one two", "web", "en")], "doc_id long, text string, source string, lang string")
+    pieces = worker_of(monkeypatch, lambda: encode_pieces(docs, piece_model_path()))
+    shingles = worker_of(monkeypatch, lambda: token_groups._described(docs, 3, 90))
+    quality = worker_of(monkeypatch, lambda: keep_good(docs, quality_cotrain.QualityModel(), 0.0))
+    batch = pa.RecordBatch.from_pydict(
+        {"doc_id": [1], "text_key": [7], "text": ["one two"], "__text": ["one two"], "source": ["web"], "lang": ["en"]}
+    )
+    first = list(pieces([batch]))
+    assert load_model.cache_info().currsize == 1
+    model = load_model(piece_model_path())
+    assert list(pieces([batch])) == first and load_model(piece_model_path()) is model  # its own next task finds it
+    list(shingles([batch]))
+    assert load_model.cache_info().currsize == 0 and len(token_groups._WORDS) == 2
+    assert len(list(quality([batch]))) == 1
+    assert len(token_groups._WORDS) == 0 and len(token_groups._WORDS.hashes) == 0
+    assert list(pieces([batch])) == first
+
+
+def test_steps_spell_out_one_slice_at_once():
+    """Texts of a batch become strings slice by slice, with the slices as before."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from bazaarlens.llm.common import text_steps
+
+    texts = [None, "", "ü𝄞" * 3] + ["x" * 100_000] * 200 + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    tracemalloc.start()
+    sizes, got = [], 0
+    for rows, part in text_steps([batch], "text", 1_000_000):
+        assert part == [t or "" for t in rows.column(0).to_pylist()]
+        sizes.append(sum(map(len, part)))
+        got += len(part)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == len(texts) and max(sizes) <= 1_000_000 and sum(sizes) == 20_000_006
+    assert peak < 6_000_000
+    assert list(text_steps([batch.slice(0, 0)], "text")) == []
+
+
+def test_pipeline_takes_small_batches(spark):
+    """Rows of an Arrow batch are bounded, and a smaller bound of the session stays."""
+    from bazaarlens.llm.common import BATCH_ROWS, small_batches
+
+    import corpus_pipeline
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.createDataFrame([(1, "one two")], "doc_id long, text string")
+    try:
+        for given, wanted in (("10000", BATCH_ROWS), ("0", BATCH_ROWS), ("500", 500)):
+            spark.conf.set(name, given)
+            found = corpus_pipeline.private_data(spark, docs, "")
+            assert int(spark.conf.get(name)) == wanted and found.count() == 1
+            small_batches(spark)
+            assert int(spark.conf.get(name)) == wanted
+    finally:
+        spark.conf.set(name, before)
