@@ -146,3 +146,24 @@ def test_upserts_carry_the_time_of_a_row_once(spark):
         got = {r["alias_norm"]: r for r in df.collect()}
         assert tuple(got["a b"])[2:8] == ("a-b", "f2", "v1", 0.9, "2020-01-01", "2020-01-09")
         assert got["a b"]["set_at"].asDict()["family_key"] == ("2020-01-03", "r3") and tuple(got["c d"])[2:5] == ("c d", "f1", "v1")
+
+
+def test_classification_reaches_its_summary(spark):
+    """Category, ambiguity and warnings of the listings are what the summary shows, as its SQL works them out."""
+    import duckdb
+
+    from bazaarlens.plans import QUERIES
+    from bazaarlens.plans.text_queries import CLASSIFIED_SQL, WARNED_SQL
+
+    titles = [
+        "NVIDIA RTX 3070", "RTX 3080 10GB", "RTX 3090 gddr banco kit da 12", "gpu 8gb vram 256gb vram", "RAM DDR4 16GB", "memoria ram per vram",
+        "Monitor 27 pollici 144 Hz", "monitor", "Makita trapano 18V", "cavo lungo", "MPN: AB123456 cavo", "cavo EAN 12345678", "cavo HTTPX-12345", "so-dimm ddr4",
+    ]
+    rows = spark.createDataFrame([(i, t, "x", "") for i, t in enumerate(titles)], "listing_id int, title string, category string, description string")
+    got = promotion.classification_summary(promotion.classify_listings(rows)).collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE listings_v AS SELECT unnest($1) AS title, 'x' AS category, '' AS description", [titles])
+    want = con.execute(f"WITH {CLASSIFIED_SQL} SELECT category, count(*), count(*) FILTER (unsure OR NOT (facts OR identified)), sum({WARNED_SQL}) FROM f GROUP BY 1").fetchall()
+    assert sorted(map(tuple, got)) == sorted((c, n, a, int(w)) for c, n, a, w in want)
+    assert sum(r["warnings"] for r in got) > 3 and sum(r["ambiguous"] for r in got) > 2
+    assert QUERIES["classification_summary"](spark, "/root/testdata/sf0.001").columns == ["category", "total", "ambiguous", "warnings"]
