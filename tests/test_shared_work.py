@@ -167,3 +167,40 @@ def test_classification_reaches_its_summary(spark):
     assert sorted(map(tuple, got)) == sorted((c, n, a, int(w)) for c, n, a, w in want)
     assert sum(r["warnings"] for r in got) > 3 and sum(r["ambiguous"] for r in got) > 2
     assert QUERIES["classification_summary"](spark, "/root/testdata/sf0.001").columns == ["category", "total", "ambiguous", "warnings"]
+
+
+def test_descriptions_are_scored_once_for_all_their_titles(spark, monkeypatch):
+    """No table of the resolver has a row for each text and each term that scores in it."""
+    from bazaarlens.operators import resolver
+
+    near, solo = ([(f"{n}{i}", "", f"{name}{i}{end}", 0.9) for i in range(20)] for n, name, end in (("n", "acme red widget k", ""), ("s", "w", " solo")))
+    families = spark.createDataFrame(near + solo, "family_id string, brand string, family_name string, confidence double")
+    variants = spark.createDataFrame([], "variant_id string, family_id string, variant_name string, confidence double")
+    aliases = spark.createDataFrame([], "alias_id string, family_id string, variant_id string, alias string, source string, confidence double")
+    codes = spark.createDataFrame([], "family_id string, variant_id string, identifier_type string, identifier_value string, source string, confidence double")
+    index = resolver.build_index(families, variants, aliases, codes)
+    texts = spark.createDataFrame([(f"t{i}", f"w{i}", "acme red widget") for i in range(20)], "text_id string, title string, description string")
+    keep, rows = resolver.stored, []
+
+    def counted(df):
+        out = keep(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(resolver, "stored", counted)
+    got = resolver.resolve_texts(texts, index, families).collect()
+    assert len(got) == 100 and {r["n_candidates"] for r in got} == {20} and {r["rank"] for r in got} == {1, 2, 3, 4, 5}
+    assert max(rows) < 200
+
+
+def test_long_and_short_sides_meet_the_same_terms(spark, monkeypatch):
+    from bazaarlens.operators import resolver
+
+    terms = [("red widget", ["red", "widget"]), ("blue red rod bolt", ["blue", "bolt", "red", "rod"]), ("gear", ["gear"])]
+    index = spark.createDataFrame(terms, "term_norm string, tokens array<string>")
+    sides = spark.createDataFrame([(s, s.split()) for s in ("red widget gear", "rod red blue", "blue rod", "widget")], "side string, words array<string>")
+    found = []
+    for most in (40, 2, 0):
+        monkeypatch.setattr(resolver, "SHORT_SIDE", most)
+        found.append({(r["side"], r["term_norm"]) for r in resolver.side_hits(sides, index, resolver.IN_TITLE).collect()})
+    assert found[0] == found[1] == found[2] == {("red widget gear", "red widget"), ("red widget gear", "gear"), ("rod red blue", "blue red rod bolt")}
