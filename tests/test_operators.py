@@ -330,3 +330,31 @@ def test_ties_of_checkpoints_do_not_depend_on_partitions(spark):
     for parts in (1, 3, 7):
         got = reviews.recent_checkpoints(none, runs.repartition(parts), 50).groupBy("status").count().collect()
         assert {r["status"]: r["count"] for r in got} == {"error": 30, "ok": 20}
+
+
+def test_stored_rows_carry_one_time_for_values_set_together(spark):
+    """Bytes that stored listings take in the shuffle of the next upsert: 186 a row with a time for each value."""
+    import time
+
+    from bazaarlens.operators import upsert
+
+    def written():
+        context = spark.sparkContext
+        stages = context._jsc.sc().statusStore().stageList(
+            None, False, False, context._gateway.new_array(context._jvm.double, 0), context._jvm.java.util.ArrayList()
+        )
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    n = F.col("id").cast("string").cast("binary")
+    rows = spark.range(3000).select(
+        F.sha1(n).alias("fingerprint"), F.sha2(n, 256).alias("sighting_id"), F.lit("2026-01-01").alias("seen_at"),
+        *[F.lit("x").alias(c) for c in upsert.LISTING_KEEPS],
+        *[F.lit(1.0 if c == "price" else "y").alias(c) for c in ("title", "url", "price", "currency", "query")],
+    )
+    snapshot = upsert.upsert_listings(None, rows).localCheckpoint()
+    time.sleep(1)
+    before = written()
+    merged = upsert.upsert_listings(snapshot, rows.where("seen_at = ''")).collect()
+    time.sleep(1)
+    assert {(r["title"], r["set_at"]["title"]["t"], r["seen_count"]) for r in merged} == {("y", "2026-01-01", 1)}
+    assert (written() - before) / 3000 < 165
